@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import encode, knn, visual
+from tidemark.llm import cluster, encode, knn, mix, visual
 from tidemark.sources import load
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return cluster.cluster_vectors(load(spark, base, "memories")).members
+
+
+def p2_clusters(spark: SparkSession, base: str) -> DataFrame:
+    return cluster.cluster_vectors(load(spark, base, "memories")).clusters
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return knn.similar_pairs(load(spark, base, "memories")).select("id_a", "id_b")
 
@@ -16,6 +24,14 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode.token_ids(load(spark, base, "documents"))
 
 
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    return mix.mix_documents(load(spark, base, "documents"), load(spark, base, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mix.mix_documents(load(spark, base, "documents"), load(spark, base, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return visual.lookalike_pairs(load(spark, base, "documents"))
 
@@ -24,5 +40,5 @@ def p8_forms(spark: SparkSession, base: str) -> DataFrame:
     return visual.text_forms(load(spark, base, "documents")).select("doc_id", "form", "mixed_words", "whole_words")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_ids, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
 SQL: dict[str, str] = {}
