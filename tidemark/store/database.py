@@ -173,7 +173,8 @@ class Database:
             guards.append(f"(valid_from <= {at} AND (valid_to IS NULL OR {at} < valid_to))")
         if t is not None and (policy := self._policy_guard(t, command, "using")) is not None:
             guards.append(f"({policy})")
-        return Relation(f"(SELECT * FROM {rel.sql} WHERE {' AND '.join(guards)})", rel.fields) if guards else rel
+        # without the alias Spark reads "WHERE (name)" as an alias with columns
+        return Relation(f"(SELECT * FROM {rel.sql} AS fenced WHERE {' AND '.join(guards)})", rel.fields) if guards else rel
 
     def _system(self, table: str) -> DataFrame:
         catalog = self.log.catalog
@@ -618,21 +619,21 @@ class Database:
                 if fk.table != t.name:
                     continue
                 target = fk.target or (t.primary[0] if t.primary else t.names[0])
-                gone = old.select(F.col(f"`{target}`").alias("k"), ROW, STATEMENT).filter("k is not null")
+                gone = old.select(F.col(f"`{target}`").alias("_key"), ROW, STATEMENT).filter("_key is not null")
                 if new is not None:
-                    moved = gone.join(new.select(F.col(f"`{target}`").alias("to"), ROW, STATEMENT), [ROW, STATEMENT]).filter("not k <=> to").select("k", "to")
+                    moved = gone.join(new.select(F.col(f"`{target}`").alias("_to"), ROW, STATEMENT), [ROW, STATEMENT]).filter("not _key <=> _to").select("_key", "_to")
                 else:
-                    moved = gone.select("k", F.lit(None).cast(gone.schema["k"].dataType).alias("to"))
+                    moved = gone.select("_key", F.lit(None).cast(gone.schema["_key"].dataType).alias("_to"))
                 if moved.first() is None:
                     continue
                 rows = self.log.read(child)
                 if child.name == t.name and new is None:  # rows that go away themselves don't object
                     rows = rows.join(old.select(ROW, STATEMENT), [ROW, STATEMENT], "left_anti").select(rows.columns)
-                hit = rows.join(moved, F.col(f"`{fk.column}`") == F.col("k"))
+                hit = rows.join(moved, F.col(f"`{fk.column}`") == F.col("_key"))
                 action = fk.on_delete if event == "delete" else fk.on_update
                 if action in ("no action", "restrict"):
                     if (bad := hit.first()) is not None:
-                        raise ConstraintError(f"{t.name}.{target} = {bad['k']} is referenced by {child.name}.{fk.column}")
+                        raise ConstraintError(f"{t.name}.{target} = {bad['_key']} is referenced by {child.name}.{fk.column}")
                     continue
                 scratch = Scratch(self.spark, "children")
                 hit = scratch.write("hit", hit)
@@ -641,7 +642,7 @@ class Database:
                 if action == "cascade" and event == "delete":
                     self._remove(child, hit.select(rows.columns))
                     continue
-                value: SparkColumn = F.col("to") if action == "cascade" else F.lit(None).cast(child.column(fk.column).spark)
+                value: SparkColumn = F.col("_to") if action == "cascade" else F.lit(None).cast(child.column(fk.column).spark)
                 changed = hit.withColumn("_value", value).select(*(F.col("_value").alias(c) if c == fk.column else F.col(f"`{c}`") for c in child.names), ROW, STATEMENT)
                 n, path, staged = self.log.stage(child, changed)
                 self._not_null(child, staged)
