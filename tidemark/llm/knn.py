@@ -5,8 +5,8 @@ curve; vectors that lie close in space mostly lie close on the curve, and where
 one curve cuts a neighbourhood another, of other axes and shift, doesn't.
 
 Tenants are hash-partitioned whole while they fit a task. A larger tenant is
-range-partitioned along two curves into ranges of a task's size, and the lists
-its vectors find on either are merged. In a task several curves order the
+range-partitioned along several curves into ranges of a task's size, and the
+lists its vectors find on each are merged. In a task several curves order the
 vectors. Windows of neighbouring keys whose vectors are similar merge over all
 curves, and every vector is ranked again, in full precision, among all vectors
 of its merged window.
@@ -15,6 +15,7 @@ of its merged window.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from tidemark.session import Scratch
 
 NEIGHBOURS = 5
 SIMILAR = 0.86
-#: Axes and bits of a curve, curves in a task, and the rows a key window spans.
-AXES, BITS, CURVES, LAGS = 6, 7, 8, 2
+#: Axes and bits of a curve, curves in a task, curves a large tenant is split along, and the rows a key window spans.
+AXES, BITS, CURVES, SPLITS, LAGS = 6, 7, 8, 3, 2
 #: Rows of one tenant that a task takes whole; vectors up to which a window is ranked against itself entirely.
 TASK_ROWS = 100_000
 DENSE = 1_024
@@ -165,7 +166,7 @@ def _merge(r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def _prepare(width: int):
-    curves = Curves(2, width, seed=11)
+    curves = Curves(SPLITS, width, seed=11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,8 +175,8 @@ def _prepare(width: int):
             unit = unpack(packed, width)
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("tenant").take(take), packed, pa.array(curves.keys(unit, 0)), pa.array(curves.keys(unit, 1))],
-                names=["id", "tenant", "vec", "key_0", "key_1"],
+                [batch.column("id").take(take), batch.column("tenant").take(take), packed, *(pa.array(curves.keys(unit, w)) for w in range(SPLITS))],
+                names=["id", "tenant", "vec", *(f"key_{w}" for w in range(SPLITS))],
             )
 
     return run
@@ -224,7 +225,7 @@ def similar_pairs(memories: DataFrame, k: int = NEIGHBOURS, least: float = SIMIL
     spark = memories.sparkSession
     scratch = scratch or Scratch(spark, "knn")
     rows = memories.filter("id is not null").select("id", tenant_key().alias("tenant"), "embedding").filter("tenant is not null")
-    packed = scratch.write("packed", rows.mapInArrow(_prepare(width), "id bigint, tenant string, vec binary, key_0 bigint, key_1 bigint"))
+    packed = scratch.write("packed", rows.mapInArrow(_prepare(width), "id bigint, tenant string, vec binary" + "".join(f", key_{w} bigint" for w in range(SPLITS))))
     counts = packed.groupBy("tenant").count()
     total, = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()
     large = counts.filter(F.col("count") > task_rows)
@@ -241,7 +242,7 @@ def similar_pairs(memories: DataFrame, k: int = NEIGHBOURS, least: float = SIMIL
     if names:
         lists = []
         big = packed.join(F.broadcast(names_df), "tenant", "left_semi")
-        for w in (0, 1):
+        for w in range(SPLITS):
             cuts = []
             pieces = {t: -(-n // task_rows) for t, n in names.items()}
             most = max(pieces.values())
@@ -254,8 +255,8 @@ def similar_pairs(memories: DataFrame, k: int = NEIGHBOURS, least: float = SIMIL
                 "id", "vec", F.concat_ws("\x00", "tenant", F.size(F.filter("cuts", lambda c: c <= F.col(f"key_{w}"))).cast("string")).alias("part")
             )
             lists.append(run(placed, False))
-        ranked = F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "b")))  # at most 2 * k of a vector
-        best = lists[0].union(lists[1]).groupBy("a").agg(F.slice(ranked, 1, k).alias("best")).select("a", F.explode("best").alias("x"))
+        ranked = F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "b")))  # at most SPLITS * k of a vector
+        best = reduce(DataFrame.union, lists).groupBy("a").agg(F.slice(ranked, 1, k).alias("best")).select("a", F.explode("best").alias("x"))
         low, high = F.least("a", "x.b"), F.greatest("a", "x.b")
         result = result.union(best.select(low.alias("a"), high.alias("b"), (-F.col("x.s")).alias("similarity")).distinct())
     return result.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "similarity")

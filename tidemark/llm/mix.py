@@ -39,7 +39,7 @@ def rake(size: np.ndarray, cap: np.ndarray, targets: list[np.ndarray], rounds: i
             for _ in range(20 if axis == 0 else 1):  # what hits its cap leaves its share to the others
                 now = (size * weight).sum(axis=rest)
                 factor = np.divide(targets[axis], now, out=np.ones_like(now), where=now > 0)
-                if np.allclose(factor, 1, atol=1e-12):
+                if np.abs(factor - 1).max(initial=0.0) < 1e-12:
                     break
                 weight = np.minimum(weight * factor.reshape(shape), cap)
         if np.abs(weight - before).max(initial=0.0) < tolerance:
