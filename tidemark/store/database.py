@@ -657,7 +657,7 @@ class Database:
     def _matched(self, t: Table, where, command: str, emitter: Emitter) -> DataFrame:
         df = self.log.read(t)
         guard = self._policy_guard(t, command, "using")
-        parts = [self._emitter().truth(where, Scope([(t.name, t.fields)]))] if where is not None else []
+        parts = [emitter.truth(where, Scope([(t.name, t.fields)]))] if where is not None else []
         if guard is not None:
             parts.append(f"({guard})")
         v = self._view(df)
