@@ -1,5 +1,10 @@
 """Clusters of mutually similar vectors by distributed k-means, with an exact check of what joins.
 
+The components of a vector are weighted features. They are hashed with random
+signs into half as many, in which the nearest of many centres is searched; the
+similarity to the centre found is then taken over the full vectors, so hashing
+decides where to look and never what is similar.
+
 Seeding is parallel and oversampled: in each round every vector not yet similar
 to a seed is drawn with a chance in proportion to its squared distance from
 the seeds. Seeds that are similar to each other become one centre, weighted by
@@ -29,6 +34,8 @@ SIMILAR = 0.86
 LEAST_MEMBERS = 5
 #: Seeds drawn in a round: SEEDS times the root of the rows, at most MOST_SEEDS (16 MB of vectors); rounds; Lloyd steps.
 SEEDS, MOST_SEEDS, ROUNDS, STEPS = 4, 65_536, 5, 2
+#: Features that the components of a vector are hashed into.
+FEATURES = 32
 #: Loose vectors per pivot, pivots a loose vector goes to, and rows compared in one block.
 PER_PIVOT, PROBES, BLOCK = 512, 8, 4_096
 #: Units are nodes from here up, loose vectors are nodes by their id; ids may not be that low.
@@ -45,19 +52,31 @@ def _packed(width: int):
     return run
 
 
+def hashed_features(width: int, features: int = FEATURES, seed: int = 13) -> np.ndarray:
+    """The matrix of a signed feature hash: every component goes to one feature, with a sign."""
+    rng = np.random.default_rng(seed)
+    out = np.zeros((width, features), dtype=np.float32)
+    # every feature gets its share of the components, so that none is crowded
+    out[np.arange(width), rng.permutation(width) % features] = rng.choice(np.float32([-1, 1]), width)
+    return out
+
+
 def _top(unit: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The most similar centre of each row and the similarity, in blocks that stay in cache."""
-    best = np.full(len(unit), -2, dtype=np.float32)
+    """The centre nearest to each row by hashed features, and the full similarity to it, in blocks that stay in cache."""
+    table = hashed_features(unit.shape[1])
+    rows, marks = unit @ table, centres @ table
+    marks /= np.maximum(np.linalg.norm(marks, axis=1, keepdims=True), np.float32(1e-12))
+    best = np.full(len(unit), -np.inf, dtype=np.float32)
     who = np.zeros(len(unit), dtype=np.int64)
     for c in range(0, len(centres), 2048):
         for a in range(0, len(unit), 512):
-            s = unit[a : a + 512] @ centres[c : c + 2048].T
+            s = rows[a : a + 512] @ marks[c : c + 2048].T
             j = s.argmax(axis=1)
             v = s[np.arange(len(s)), j]
             better = v > best[a : a + 512]
             best[a : a + 512][better] = v[better]
             who[a : a + 512][better] = j[better] + c
-    return who, best
+    return who, np.einsum("ij,ij->i", unit, centres[who])
 
 
 def _cover(seeds, first: int, least: float, width: int):
