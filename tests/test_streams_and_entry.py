@@ -65,3 +65,16 @@ def test_flagship_runs(spark):
     e = importlib.import_module("__spark_entry__")
     df = e.entry(spark)
     assert df.columns[:2] == ["tenant", "memories"] and df.count() > 10
+
+
+def test_prompt_and_corpus(spark, tmp_path):
+    from tidemark.repl import run
+    from tidemark.sources.generate import memory_corpus
+    from tidemark.store.database import Database
+
+    db = Database(spark, f"file://{tmp_path}/db")
+    got = list(run(db, ["CREATE TABLE t (a INT,\n", " b TEXT);\n", "INSERT INTO t VALUES (1, 'x;y');\n", "\\dt\n", "\\d t\n", "SELECT * FROM t;\n", "SELECT zz FROM t;\n", "\\dump\n", f"\\dump {tmp_path}/out\n", "\\q\n", "\\dt\n"]))
+    assert got[1] == "1 rows" and "t          | BASE TABLE" in got[2] and "INT" in got[3] and "1 | x;y" in got[4] and got[5].startswith("error: unknown column")
+    assert "INSERT INTO \"t\" (\"a\", \"b\") VALUES (1, 'x;y');" in got[6] and len(got) == 8
+    a, b = (memory_corpus(spark, 3, 40, 8).repartition(n) for n in (1, 4))
+    assert a.exceptAll(b).count() == 0 and a.groupBy("tenant").count().filter("count = 40").count() == 3

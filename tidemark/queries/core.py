@@ -47,6 +47,21 @@ SQL = {
                min(created_at) AS first_created, max(created_at) AS latest_created,
                max(ingested_at) AS latest_ingested
         FROM one GROUP BY tenant""",
+    "p3_found": r"""
+        WITH c AS (SELECT attribute, value_type, lower(regexp_replace(attribute, '[^a-zA-Z0-9]', '', 'g')) AS k FROM attr_catalog),
+        f AS (SELECT regexp_replace(subject, '^\s+|\s+$', '', 'g') AS subject, c.attribute, c.value_type, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v, asserted_at, fact_id
+              FROM facts JOIN c ON c.k = lower(regexp_replace(facts.attribute, '[^a-zA-Z0-9]', '', 'g')) WHERE value IS NOT NULL AND trim(subject) <> ''),
+        r AS (SELECT *, CASE value_type
+                  WHEN 'text' THEN v
+                  WHEN 'integer' THEN CASE WHEN regexp_full_match(v, '[+-]?(\d+|\d{1,3}(,\d{3})+)(\.0*)?')
+                      THEN CAST(TRY_CAST(regexp_replace(replace(replace(v, ',', ''), '+', ''), '\..*$', '') AS BIGINT) AS VARCHAR) END
+                  WHEN 'decimal' THEN CASE WHEN regexp_full_match(v, '[+-]?(\d+|\d{1,3}(,\d{3})+)(\.\d*)?([eE][+-]?\d+)?')
+                      THEN CAST(TRY_CAST(replace(replace(v, ',', ''), '+', '') AS DECIMAL(38, 2)) AS VARCHAR) END
+                  WHEN 'boolean' THEN CASE WHEN lower(v) IN ('true', 't', 'yes', 'y', 'on', '1') THEN 'true' WHEN lower(v) IN ('false', 'f', 'no', 'n', 'off', '0') THEN 'false' END
+                  ELSE strftime(coalesce(try_strptime(v, ['%Y-%m-%d', '%Y/%m/%d', '%Y%m%d', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%d %b %Y', '%b %d, %Y', '%d %B %Y'])), '%Y-%m-%d') END AS cell
+              FROM f WHERE lower(v) NOT IN ('', 'n/a', 'null', 'none', 'unknown', '-', '?')),
+        n AS (SELECT *, row_number() OVER (PARTITION BY subject, attribute ORDER BY asserted_at DESC NULLS LAST, fact_id DESC) AS i FROM r WHERE cell IS NOT NULL)
+        SELECT subject, attribute, cell FROM n WHERE i = 1""",
     "p4_found": r"""
         WITH v AS (
             SELECT nullif(upper(regexp_replace(sku, '^\s+|\s+$', '', 'g')), '') AS sku, valid_from AS f,

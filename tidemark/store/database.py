@@ -1136,8 +1136,9 @@ class Database:
         frames = []
         for t in self._ordered():
             df = self.log.read(t)
-            frames.append(df.agg(F.count("*").alias("rows")).select(F.lit(t.name).alias("table_name"), "rows", F.lit(len(df.inputFiles())).alias("files")))
-        return _union(frames) if frames else self.spark.createDataFrame([], "table_name string, rows bigint, files int")
+            size = sum(self.log.files.size(p) for _, _, p in t.inserts + t.deletes)
+            frames.append(df.agg(F.count("*").alias("rows")).select(F.lit(t.name).alias("table_name"), "rows", F.lit(len(df.inputFiles())).alias("files"), F.lit(size).cast("bigint").alias("bytes")))
+        return _union(frames) if frames else self.spark.createDataFrame([], "table_name string, rows bigint, files int, bytes bigint")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
