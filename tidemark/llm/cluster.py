@@ -36,7 +36,7 @@ LEAST_MEMBERS = 5
 SEEDS, MOST_SEEDS, ROUNDS, STEPS = 4, 65_536, 5, 2
 #: Features that the components of a vector are hashed into.
 FEATURES = 32
-#: Loose vectors per pivot, pivots a loose vector goes to, and rows compared in one block.
+#: Loose vectors per pivot (at most MOST_SEEDS pivots), pivots a loose vector goes to, and rows compared in one block.
 PER_PIVOT, PROBES, BLOCK = 512, 8, 4_096
 #: Units are nodes from here up, loose vectors are nodes by their id; ids may not be that low.
 UNITS = -(2**63)
@@ -339,18 +339,25 @@ def _seed(vectors: DataFrame, rows: int, scratch: Scratch, least: float, width:
     draw = int(min(MOST_SEEDS, max(16, SEEDS * math.sqrt(rows))))
     pool = vectors.withColumn("d2", F.lit(4.0))
     seeds, weights = [], []
-    first = 0
+    first, left, cost = 0, rows, 4.0 * rows
     for r in range(rounds):
         u = (F.pmod(F.xxhash64(F.lit(r), "id"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-        drawn = pool.select("vec", (-F.log(u) / F.greatest("d2", F.lit(1e-12))).alias("wait")).orderBy("wait").limit(draw).select("vec").collect()
+        waits = pool.select("vec", (-F.log(u) / F.greatest("d2", F.lit(1e-12))).alias("wait"))
+        if left > 8 * draw:  # about four times as many as are drawn wait less than this, however many tasks there are
+            waits = waits.filter(F.col("wait") < 4 * draw / cost)
+        drawn = waits.orderBy("wait").limit(draw).select("vec").collect()
         if not drawn:
             break
         now = np.unique(unpack(pa.array([bytes(x[0]) for x in drawn], pa.binary()), width), axis=0)
         sent = spark.sparkContext.broadcast(now)  # at most MOST_SEEDS vectors
         covered = scratch.write(f"round{r}", pool.select("id", "vec", "d2").mapInArrow(_cover(sent, first, least, width), "id bigint, vec binary, d2 double, seed bigint"))
         count = np.zeros(len(now), dtype=np.int64)
-        for row in covered.filter("seed is not null").groupBy("seed").count().collect():
-            count[row["seed"] - first] = row["count"]
+        left, cost = 0, 0.0
+        for row in covered.groupBy("seed").agg(F.count("*").alias("n"), F.sum("d2").alias("cost")).collect():  # at most one row per seed and one
+            if row["seed"] is None:
+                left, cost = row["n"], row["cost"]
+            else:
+                count[row["seed"] - first] = row["n"]
         seeds.append(now)
         weights.append(count)
         if r:
@@ -448,7 +455,9 @@ def _loose_edges(loose: DataFrame, scratch: Scratch, least: float, width: int) -
     n = loose.count()
     if not n:
         return spark.createDataFrame([], "a bigint, b bigint")
-    picked = loose.orderBy(F.xxhash64("id")).limit(-(-n // PER_PIVOT)).select("vec").collect()
+    wanted = min(MOST_SEEDS, -(-n // PER_PIVOT))
+    share = loose if n <= 8 * wanted else loose.filter(F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.lit(n)) < 4 * wanted)
+    picked = share.orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()
     pivots = spark.sparkContext.broadcast(unpack(pa.array([bytes(r[0]) for r in picked], pa.binary()), width))
     counts = np.zeros(len(pivots.value), dtype=np.int64)
     for row in loose.mapInArrow(_meet_loose(pivots, PROBES, None, width), "cell bigint").groupBy("cell").count().collect():

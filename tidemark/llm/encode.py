@@ -225,10 +225,12 @@ def _raw(spark: SparkSession, vocabulary: str, folder: str):
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """``frame`` in at least as many partitions as there are cores; only an input of few files is moved."""
+    """A scan of few splits in as many partitions as there are cores. What has shuffles is left as it is: asking would run it."""
+    run = frame._jdf.queryExecution()
+    if "Adaptive" in run.executedPlan().getClass().getSimpleName():
+        return frame
     want = frame.sparkSession.sparkContext.defaultParallelism
-    have = frame._jdf.queryExecution().toRdd().getNumPartitions()
-    return frame if have >= want else frame.repartition(want)
+    return frame if run.toRdd().getNumPartitions() >= want else frame.repartition(want)
 
 
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:

@@ -230,7 +230,7 @@ def similar_pairs(memories: DataFrame, k: int = NEIGHBOURS, least: float = SIMIL
     total, = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()
     large = counts.filter(F.col("count") > task_rows)
     names = {r["tenant"]: r["count"] for r in large.collect()}  # at most total / task_rows rows
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // task_rows * 2, 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (5 * task_rows), 1)  # groups of a partition stream by one at a time
     search = "a bigint, b bigint, similarity double"
 
     def run(part: DataFrame, pairs: bool) -> DataFrame:

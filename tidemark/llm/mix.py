@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.encode import VOCABULARIES, VOCABULARY, token_counts
+from tidemark.llm.encode import VOCABULARIES, VOCABULARY, spread, token_counts
 from tidemark.session import Scratch
 
 #: Languages and topics kept apart; the others are one. Bins of a source's documents by chance.
@@ -52,7 +52,7 @@ def _prepared(documents: DataFrame, targets: DataFrame, vocabulary: str, folder:
     listed = F.broadcast(targets.select("source").filter("source is not null").distinct())  # the catalogue of sources
     topic = F.when(F.instr("path", "/") > 1, F.lower(F.substring_index("path", "/", 1))).otherwise("(root)")
     language = F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("(none)"))
-    rows = documents.select("doc_id", "source", "lang", "path", "text").join(listed, "source", "left_semi")
+    rows = spread(documents.select("doc_id", "source", "lang", "path", "text")).join(listed, "source", "left_semi")
     columns = [F.col("doc_id"), F.col("source"), language.alias("language"), F.coalesce(topic, F.lit("(root)")).alias("topic")]
     return scratch.write("sized", token_counts(rows, columns, "text", vocabulary, folder))
 
