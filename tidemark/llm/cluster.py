@@ -456,8 +456,9 @@ def _loose_edges(loose: DataFrame, scratch: Scratch, least: float, width: int) -
     if not n:
         return spark.createDataFrame([], "a bigint, b bigint")
     wanted = min(MOST_SEEDS, -(-n // PER_PIVOT))
-    share = loose if n <= 8 * wanted else loose.filter(F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.lit(n)) < 4 * wanted)
-    picked = share.orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()
+    # about four times as many as are wanted are sorted, and at least 256
+    share = F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.lit(n)) < 4 * max(64, wanted)
+    picked = loose.filter(share).orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()
     pivots = spark.sparkContext.broadcast(unpack(pa.array([bytes(r[0]) for r in picked], pa.binary()), width))
     counts = np.zeros(len(pivots.value), dtype=np.int64)
     for row in loose.mapInArrow(_meet_loose(pivots, PROBES, None, width), "cell bigint").groupBy("cell").count().collect():
