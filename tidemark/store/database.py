@@ -487,23 +487,34 @@ class Database:
             parent = self._table(fk.table)
             target = fk.target or (parent.primary[0] if parent.primary else parent.names[0])
             keys = rows.select(F.col(f"`{fk.column}`").alias("k")).filter("k is not null")
-            there = self.log.read(parent).select(F.col(f"`{target}`").alias("k"))
+            there = self.log.read(parent).select(F.col(f"`{target}`").alias("k")).join(keys, "k", "left_semi")
             if parent.name == t.name:
                 there = there.union(rows.select(F.col(f"`{target}`").alias("k")))
             if (miss := keys.join(there, "k", "left_anti").first()) is not None:
                 raise ConstraintError(f"{fk.column} = {miss[0]} of {t.name} is not in {fk.table}")
 
-    def _check_unique(self, t: Table, rows: DataFrame, others: DataFrame) -> None:
+    def _check_unique(self, t: Table, rows: DataFrame, others: DataFrame, changed: set[str] | None = None) -> None:
+        """No full key of ``rows`` may occur twice in them or in ``others``; keys without a changed column aren't looked at.
+
+        The new keys are the side that is built or sent, so a large table is
+        scanned but not shuffled for a small write.
+        """
         for cols in t.uniques:
+            if changed is not None and not changed & set(cols):
+                continue
             key = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(cols)]
-            full = " and ".join(f"k{i} is not null" for i in range(len(cols)))
-            fresh = rows.select(*key).filter(full).withColumn("fresh", F.lit(1))
-            old = others.select(*key).filter(full).withColumn("fresh", F.lit(0))
             ks = [f"k{i}" for i in range(len(cols))]
-            hit = fresh.union(old).groupBy(*ks).agg(F.count("*").alias("n"), F.max("fresh").alias("f")).filter("n > 1 and f = 1").first()
+            fresh = rows.select(*key).dropna()
+            hit = fresh.groupBy(*ks).count().filter("count > 1").first() or others.select(*key).join(fresh, ks, "left_semi").first()
             if hit is not None:
                 raise ConstraintError(f"duplicate key ({', '.join(cols)}) = ({', '.join(str(hit[k]) for k in ks)}) in {t.name}")
 
+    @staticmethod
+    def _held(now: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame:
+        """The keys of ``rows`` that ``now`` has: as small as the write, whatever the size of the table."""
+        keys = [F.col(f"`{c}`") for c in cols]
+        return now.select(*keys).join(rows.select(*keys).dropna(), cols, "left_semi").distinct()
+
     def _conflict(self, t: Table, staged: DataFrame, conflict: dict, emitter: Emitter) -> tuple[DataFrame, DataFrame | None, int]:
         """The rows to add, the rows updated, and how many."""
         targets = [conflict["target"]] if conflict["target"] else t.uniques
@@ -517,14 +528,14 @@ class Database:
         if conflict["do"] == "nothing":
             for cols in targets:
                 rows = self._first_of(rows, cols)
-                rows = rows.join(now.select(*(F.col(f"`{c}`") for c in cols)), cols, "left_anti").select(staged.columns)
+                rows = rows.join(self._held(now, rows, cols), cols, "left_anti").select(staged.columns)
             return rows, None, 0
         cols = targets[0]
         if conflict["do"] == "assert":
             self._assert(t, rows, now, cols)
             first = self._first_of(rows, cols)
-            return first.join(now.select(*cols), cols, "left_anti").select(staged.columns), None, 0
-        there = now.select(*cols)
+            return first.join(self._held(now, first, cols), cols, "left_anti").select(staged.columns), None, 0
+        there = Scratch(self.spark, "held").write("keys", self._held(now, rows, cols))
         fresh = rows.join(there, cols, "left_anti").select(staged.columns)
         full = fresh.dropna(subset=cols)
         if (twice := full.groupBy(*cols).count().filter("count > 1").first()) is not None:
@@ -583,42 +594,39 @@ class Database:
         touched = scratch.write("touched", touched)
         count = touched.count()
         if count:
-            self._replace(t, touched, now)
+            self._replace(t, touched, now, {c for c, _ in conflict["set"]})
         return touched, count
 
     @staticmethod
     def _either(emitter: Emitter, e, inner: Scope, both: Scope) -> Typed:
         """Bare names are the held row's, ``excluded.`` the proposed one's."""
-        from tidemark.plans.syntax import Col
-
         class Held(Scope):
             def find(self, table: str | None, column: str) -> Typed:
                 return both.find(table or inner.tables[0][0], column)
 
-        assert Col
         return emitter.expr(e, Held(both.tables))
 
-    def _replace(self, t: Table, rows: DataFrame, now: DataFrame) -> tuple[int, DataFrame]:
-        """End the versions of ``rows`` and add their new values, with all checks and referential actions."""
-        guard = self._policy_guard(t, "update", "using")
+    def _replace(self, t: Table, rows: DataFrame, now: DataFrame, changed: set[str]) -> tuple[int, DataFrame]:
+        """End the versions of ``rows`` and add their new values, with the checks and referential actions that ``changed`` columns call for."""
         old = now.join(rows.select(ROW, STATEMENT), [ROW, STATEMENT], "left_semi").select(now.columns)
         n, path, staged = self.log.stage(t, rows)
         self._check_rows(t, staged, "update")
         rest = now.join(rows.select(ROW, STATEMENT), [ROW, STATEMENT], "left_anti").select(now.columns)
-        self._check_unique(t, staged, rest)
-        assert guard is None or guard
-        self._children(t, old, rows, "update")
+        self._check_unique(t, staged, rest, changed)
+        self._children(t, old, rows, "update", changed)
         self.log.end(t, rows)
         self.log.add(t, n, path)
         return n, staged
 
-    def _children(self, t: Table, old: DataFrame, new: DataFrame | None, event: str) -> None:
+    def _children(self, t: Table, old: DataFrame, new: DataFrame | None, event: str, changed: set[str] | None = None) -> None:
         """Referential actions for keys of ``t`` that go away or change."""
         for child in list(self.log.catalog.tables.values()):
             for fk in child.foreign:
                 if fk.table != t.name:
                     continue
                 target = fk.target or (t.primary[0] if t.primary else t.names[0])
+                if changed is not None and target not in changed:
+                    continue
                 gone = old.select(F.col(f"`{target}`").alias("_key"), ROW, STATEMENT).filter("_key is not null")
                 if new is not None:
                     moved = gone.join(new.select(F.col(f"`{target}`").alias("_to"), ROW, STATEMENT), [ROW, STATEMENT]).filter("not _key <=> _to").select("_key", "_to")
@@ -643,11 +651,11 @@ class Database:
                     self._remove(child, hit.select(rows.columns))
                     continue
                 value: SparkColumn = F.col("_to") if action == "cascade" else F.lit(None).cast(child.column(fk.column).spark)
-                changed = hit.withColumn("_value", value).select(*(F.col("_value").alias(c) if c == fk.column else F.col(f"`{c}`") for c in child.names), ROW, STATEMENT)
-                n, path, staged = self.log.stage(child, changed)
+                after = hit.withColumn("_value", value).select(*(F.col("_value").alias(c) if c == fk.column else F.col(f"`{c}`") for c in child.names), ROW, STATEMENT)
+                n, path, staged = self.log.stage(child, after)
                 self._not_null(child, staged)
-                self._children(child, hit.select(rows.columns), changed, "update")
-                self.log.end(child, changed)
+                self._children(child, hit.select(rows.columns), after, "update", {fk.column})
+                self.log.end(child, after)
                 self.log.add(child, n, path)
 
     def _remove(self, t: Table, rows: DataFrame) -> None:
@@ -682,7 +690,7 @@ class Database:
         count = new.count()
         affected = new
         if count:
-            _, affected = self._replace(t, new, self.log.read(t))
+            _, affected = self._replace(t, new, self.log.read(t), {c for c, _ in s.set})
         return self._mutation(t, affected, s.returning, emitter, count)
 
     def _do_delete(self, s: Statement, params: list | None) -> Outcome:
