@@ -158,3 +158,8 @@ def info_schema_columns(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {name: dialect(sql) for name, (sql, _) in _BOTH.items()} | {"info_schema_columns": info_schema_columns}
 SQL = {name: twin or sql for name, (sql, twin) in _BOTH.items()}
+#: The dialect's whole numbers all have 64 bits; the twins' columns that have fewer are widened.
+_WIDER = {
+    "scan_filter_project": "l_linenumber", "predicates_in_between_like": "p_size", "case_simple_searched": "band", "topk": "l_linenumber", "union": "k", "union_all": "k", "intersect_all": "k", "except_all": "k",
+}
+SQL |= {name: f"SELECT * REPLACE (CAST({c} AS BIGINT) AS {c}) FROM ({SQL[name]})" for name, c in _WIDER.items()}
