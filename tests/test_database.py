@@ -213,7 +213,7 @@ def test_alter_and_dump_and_restore(db, tmp_path):
 
 def test_copy_round_trip(db, tmp_path):
     db.execute("CREATE TABLE s (id INT, name TEXT, ok BOOL, v VECTOR, m DECIMAL(9, 2))")
-    db.execute("INSERT INTO s VALUES (1, 'a,\"b\"', TRUE, '[1, 2.5]', 1.5), (2, NULL, FALSE, NULL, NULL), (3, 'two\nlines', NULL, '[0]', 2)")
+    db.execute("INSERT INTO s VALUES (1, 'a,\"b\"', TRUE, '[1, 2.5]', 1.5), (2, NULL, FALSE, NULL, NULL), (3, 'two\nlines', NULL, '[0]', 2), (0, '  spaced ', NULL, NULL, 0)")
     db.execute(f"COPY s TO '{tmp_path}/out' HEADER")
     db.execute("CREATE TABLE d (id INT, name TEXT, ok BOOL, v VECTOR, m DECIMAL(9, 2), CHECK (id < 3))")
     with pytest.raises(ConstraintError):

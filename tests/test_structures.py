@@ -162,6 +162,19 @@ def test_authenticated_range(spark):
     assert distributed.authenticated_range(df, "v", 50, 60, ["k"])["rows"].count() == 0
 
 
+def test_authenticated_knn(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(60)] + [(99, None)], "id long, e array<float>")
+    q = [0.5] * 8
+    got = distributed.authenticated_knn(df, "id", "e", q, 5)
+    assert len(got["rows"]) == 5 and distributed.verify_knn(got, got["root"], q)
+    assert not distributed.verify_knn(got, "0" * 64, q)
+    forged = {**got, "rows": [{**got["rows"][0], "vector": [0.5] * 8}, *got["rows"][1:]]}
+    assert not distributed.verify_knn(forged, got["root"], q)
+    swapped = {**got, "rows": got["rows"][::-1]}
+    assert not distributed.verify_knn(swapped, got["root"], q)
+
+
 def test_ledger_audit(spark):
     df = spark.range(200).selectExpr("id % 5 chain", "id seq", "CAST(id * 3 AS STRING) body")
     sealed = distributed.ledger_chain(df, "chain", "seq", ["body"])

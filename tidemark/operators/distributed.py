@@ -190,15 +190,19 @@ def merkle_tree(frame: DataFrame, order: list[str], columns: list[str], scratch:
     return tree
 
 
-def merkle_proof(tree: DataFrame, position: int) -> list[str]:
-    """The siblings from leaf to root of one leaf: as many rows as the tree has levels."""
+def merkle_proofs(tree: DataFrame, positions: list[int]) -> dict[int, list[str]]:
+    """Per leaf the siblings from it to the root, read in one go: as many rows as the tree has levels, twice, for each."""
     top = tree.agg(F.max("level")).first()[0] or 0
-    want = [(k, (position >> k) ^ 1, position >> k) for k in range(top)]
-    ask = tree.sparkSession.createDataFrame(want, "level int, position bigint, own bigint") if want else None
-    if ask is None:
-        return []
-    got = {(r["level"], r["position"]): r["hash"] for r in tree.join(F.broadcast(ask.select("level", "position").union(ask.select("level", F.col("own")))), ["level", "position"]).collect()}
-    return [got.get((k, sibling), got[(k, own)]) for k, sibling, own in want]
+    want = {(k, at) for p in positions for k in range(top) for at in (p >> k, (p >> k) ^ 1)}
+    if not want:
+        return {p: [] for p in positions}
+    ask = tree.sparkSession.createDataFrame(sorted(want), "level int, position bigint")
+    got = {(r["level"], r["position"]): r["hash"] for r in tree.join(F.broadcast(ask), ["level", "position"]).collect()}
+    return {p: [got.get((k, (p >> k) ^ 1), got[(k, p >> k)]) for k in range(top)] for p in positions}
+
+
+def merkle_proof(tree: DataFrame, position: int) -> list[str]:
+    return merkle_proofs(tree, [position])[position]
 
 
 def verify_proof(leaf: str, position: int, proof: list[str], root: str) -> bool:
@@ -232,6 +236,53 @@ def authenticated_range(frame: DataFrame, number: str, low: int, high: int, colu
     }
 
 
+def vector_leaf(key, vector: list[float]) -> str:
+    """The Merkle leaf of a keyed vector, as :func:`authenticated_knn` makes it: the key and the bits of the components."""
+    import hashlib
+
+    bits = np.asarray(vector, dtype=">f4").tobytes().hex().upper()
+    return hashlib.sha256(f"{key}|{bits}".encode()).hexdigest()
+
+
+def authenticated_knn(frame: DataFrame, key: str, column: str, query: list[float], k: int, metric: str = "<->", scratch: Scratch | None = None) -> dict:
+    """The ``k`` nearest rows, each with its position and proof, and the ``root`` they are proved against.
+
+    The proofs are of what is shown; that nothing nearer was left out is the
+    server's word, as a proof of that would be as long as the table.
+    """
+    from tidemark.operators import ann
+
+    scratch = scratch or Scratch(frame.sparkSession, "auth-knn")
+
+    @F.pandas_udf("string")
+    def bits(v):
+        import pandas as pd
+
+        return pd.Series([np.asarray(x, dtype=">f4").tobytes().hex().upper() for x in v])
+
+    rows = dense_positions(frame.select(key, column).filter(F.col(column).isNotNull()), [key], "position", scratch)
+    rows = scratch.write("rows", rows.withColumn("bits", bits(column)))
+    tree = merkle_tree(rows, ["position"], [key, "bits"], Scratch(frame.sparkSession, "auth-knn-tree"))
+    found = ann.knn(rows.select(key, column, "position"), column, query, k, metric, key).collect()
+    top = tree.agg(F.max("level")).first()[0]
+    root = tree.filter(F.col("level") == top).first()["hash"] if top is not None else None
+    proofs = merkle_proofs(tree, [r["position"] for r in found])
+    return {"root": root, "rows": [{"key": r[key], "vector": list(r[column]), "distance": r["distance"], "position": r["position"], "proof": proofs[r["position"]]} for r in found]}
+
+
+def verify_knn(answer: dict, root: str | None, query: list[float], metric: str = "<->") -> bool:
+    """Whether every row is proved by ``root`` and the distances are right and in order."""
+    from tidemark.operators import ann
+
+    rows = answer["rows"]
+    if not all(verify_proof(vector_leaf(r["key"], r["vector"]), r["position"], r["proof"], root) for r in rows):
+        return False
+    if not rows:
+        return True
+    real = ann.block_distances(np.asarray([query], dtype=np.float32).astype(float), np.asarray([r["vector"] for r in rows], dtype=np.float32).astype(float), metric)[0]
+    return bool(np.allclose(real, [r["distance"] for r in rows], atol=1e-6) and (np.diff(real) >= -1e-9).all())
+
+
 # audits
 def ledger_chain(frame: DataFrame, chain: str, seq: str, columns: list[str]) -> DataFrame:
     """``frame`` with ``prev_hash`` and ``hash``: each entry's hash covers its contents and its predecessor's contents."""

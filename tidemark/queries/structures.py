@@ -235,6 +235,14 @@ def auth_range(spark: SparkSession, base: str) -> DataFrame:
     return got["rows"].select("p_partkey", F.lit(got["consecutive"] and got["outside"]).alias("complete"))
 
 
+def auth_knn(spark: SparkSession, base: str) -> DataFrame:
+    """The proved nearest neighbours of the first vector, and whether the proofs hold."""
+    q = _query(spark, base)
+    got = distributed.authenticated_knn(load(spark, base, "embeddings"), "vec_id", "embedding", q, 5)
+    ok = distributed.verify_knn(got, got["root"], q)
+    return spark.createDataFrame([(r["key"], round(r["distance"], 6), ok) for r in got["rows"]], "vec_id bigint, d double, proved boolean")
+
+
 def ledger_audit(spark: SparkSession, base: str) -> DataFrame:
     """Chains of orders by customer, of which every 97th order was altered after it was sealed."""
     o = load(spark, base, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
@@ -272,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vec_l2, vec_cosine, vec_ip, vec_l1, vec_norm_dims, knn_exact, knn_radius, knn_batch, knn_ivf, knn_lsh, sq8_knn, pq_knn, blind_knn, crdt_knn, hll, count_min, bloom_dedup, bloom_counting,
-        heavy_hitters, quantiles_logbucket, reservoir, bitmap_ops, hrw_route, ring_route, token_bucket, vclock_compare, lww_merge, quorum_read, merkle_diff, merkle_root, auth_range, ledger_audit,
+        heavy_hitters, quantiles_logbucket, reservoir, bitmap_ops, hrw_route, ring_route, token_bucket, vclock_compare, lww_merge, quorum_read, merkle_diff, merkle_root, auth_range, auth_knn, ledger_audit,
         retrievability, pir_read, shared_sum, forget_keys,
     )
 }
@@ -318,6 +326,7 @@ SQL = {
     "merkle_diff": "SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 THEN 'removed' ELSE 'changed' END AS change FROM customer WHERE c_custkey % 100 = 7 OR c_custkey % 50 = 3",
     "merkle_root": "SELECT CAST(ceil(log2(count(*))) AS BIGINT) AS levels, true AS proved FROM nation",
     "auth_range": "SELECT p_partkey, true AS complete FROM part WHERE p_size BETWEEN 10 AND 20",
+    "auth_knn": f"SELECT vec_id, round(list_distance(e, q), 6) AS d, true AS proved FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {_FIRST} AS q FROM embeddings) ORDER BY list_distance(e, q), vec_id LIMIT 5",
     "ledger_audit": "WITH x AS (SELECT o_custkey, o_orderkey % 97 = 0 AS hit, lag(o_orderkey % 97 = 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) SELECT o_custkey, count(*) AS entries, count(*) FILTER (hit OR coalesce(before, false)) AS broken FROM x GROUP BY o_custkey",
     "retrievability": "SELECT true AS loss_found",
     "pir_read": "SELECT o_custkey FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)",

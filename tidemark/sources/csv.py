@@ -33,5 +33,5 @@ def write_csv(frame: DataFrame, fields: list[Field], path: str, header: bool, si
         raise SqlError("a CSV needs columns")
     texts = frame.select(*(F.expr(as_text(Typed(name(f.name), f.type, f.scale))).alias(f.name) for f in fields))
     out = texts.coalesce(1) if single else texts
-    out.write.mode("overwrite").option("header", header).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+    out.write.mode("overwrite").option("header", header).option("escape", '"').option("emptyValue", "").option("nullValue", "").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return frame.count()
