@@ -119,7 +119,9 @@ def test_both_times(db):
     assert q(db, "SELECT price FROM p") == [(150,)]
     db.execute("INSERT INTO p VALUES ('B', 1, '2020-01-01 00:00:00', NULL)")  # writes act on the latest state
     assert q(db, "SELECT price FROM p") == [(150,)]
+    db.execute("CREATE TABLE copy AS SELECT sku, price FROM p")  # and what a write reads is the latest state too
     db.execute("RESET transaction_time")
+    assert q(db, "SELECT COUNT(*) FROM copy") == [(3,)]
     assert q(db, "SELECT price FROM p ORDER BY price") == [(1,), (151,)]
     db.execute("SET valid_time = off")
     assert q(db, "SELECT COUNT(*) FROM p") == [(3,)]
@@ -161,6 +163,12 @@ def test_roles_and_fences(db):
         db.execute("INSERT INTO m VALUES (9, 'ann')")
     with pytest.raises(PermissionDenied):
         db.execute("UPDATE m SET tenant = 'ann'")
+    db.execute("RESET role")
+    db.execute("CREATE UNIQUE INDEX one ON m (id)")
+    db.execute("SET ROLE bob")
+    with pytest.raises(PermissionDenied):
+        db.execute("INSERT INTO m VALUES (1, 'bob') ON CONFLICT (id) DO UPDATE SET tenant = 'bob'")
+    assert db.execute("INSERT INTO m VALUES (2, 'bob') ON CONFLICT (id) DO UPDATE SET tenant = 'bob'").count == 1
     assert db.execute("DELETE FROM m WHERE id < 3").count == 1
     for bad in ("DROP TABLE m", "CREATE ROLE z", "GRANT SELECT ON other TO bob", "SELECT * FROM other", "SELECT id FROM m WHERE id IN (SELECT id FROM other)", "INSERT INTO m SELECT id, 'bob' FROM other", "COPY other TO '/tmp/none'", "TRUNCATE m"):
         with pytest.raises(PermissionDenied):

@@ -68,6 +68,7 @@ class Database:
         self.vector_index = False
         self.attached: dict[str, DataFrame] = {}
         self.explicit = False
+        self._travels = True
         self._indexes: dict[tuple, Any] = {}
         self._views: list[str] = []
         if ROOT_ROLE not in self.log.catalog.roles:
@@ -77,6 +78,8 @@ class Database:
     def execute(self, sql: str, params: list | None = None) -> Outcome:
         """One statement."""
         tree = parse(sql)
+        # time travel is for reads: what a write reads is the latest state
+        self._travels = isinstance(tree, Query) or tree.kind in ("explain", "copy")
         try:
             if isinstance(tree, Query):
                 self._check_read(tree)
@@ -157,7 +160,7 @@ class Database:
         if table not in catalog.tables:
             raise SqlError(f"unknown table {table}")
         t = catalog.tables[table]
-        point = None if latest or self.log.staged is not None and self.explicit else self.transaction_time
+        point = None if latest or not self._travels or self.explicit else self.transaction_time
         df = self.log.read(t, point)
         return self._fence(self._frame_relation(df.select(*(F.col(f"`{c}`") for c in t.names)), t.fields), table, t, command, latest)
 
@@ -168,7 +171,7 @@ class Database:
     def _fence(self, rel: Relation, table: str, t: Table | None, command: str, latest: bool) -> Relation:
         guards = []
         columns = {f.name for f in rel.fields}
-        if self.valid_time is not None and not latest and {"valid_from", "valid_to"} <= columns:
+        if self.valid_time is not None and self._travels and not latest and {"valid_from", "valid_to"} <= columns:
             at = self.valid_time.sql
             guards.append(f"(valid_from <= {at} AND (valid_to IS NULL OR {at} < valid_to))")
         if t is not None and (policy := self._policy_guard(t, command, "using")) is not None:
@@ -564,6 +567,7 @@ class Database:
 
     def _upsert(self, t: Table, hits: DataFrame, now: DataFrame, cols: list[str], conflict: dict, emitter: Emitter) -> tuple[DataFrame | None, int]:
         """DO UPDATE on held rows. Hits of one row apply in the order of the statement, one round each."""
+        guard = self._policy_guard(t, "update", "using")
         w = F.row_number().over(_window(cols, ROW))
         scratch = Scratch(self.spark, "upsert")
         hits = scratch.write("hits", hits.withColumn("_nth", w))
@@ -573,6 +577,8 @@ class Database:
         for i in range(1, rounds + 1):
             new = hits.filter(F.col("_nth") == i)
             old = current.join(new.select(*cols), cols, "left_semi").select(current.columns)
+            if guard is not None and old.filter(F.expr(f"NOT coalesce({guard}, false)")).first() is not None:
+                raise PermissionDenied(f"a held row of {t.name} is outside of its row security policy")
             left, right = self._view(old), self._view(new)
             scope = Scope([(t.name, t.fields), ("excluded", t.fields)])
             inner = Scope([(t.name, t.fields)])
