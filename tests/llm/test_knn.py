@@ -116,6 +116,27 @@ def test_a_tenant_of_most_rows(spark, task_rows):
     assert r > (0.97 if task_rows < 1000 else 0.999) and p > 0.95
 
 
+def scattered(rng, n, similarity, width=64):
+    """Pairs, threes and fours at about ``similarity`` among as many vectors that are like no other."""
+    noise = np.sqrt((1 / similarity - 1) / width)
+    parts = []
+    for size in (2, 3, 4):
+        c = rng.standard_normal((n // (6 * size), width))
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        parts.append(np.repeat(c, size, axis=0) + rng.standard_normal((len(c) * size, width)) * noise)
+    x = np.concatenate([*parts, rng.standard_normal((n - sum(map(len, parts)), width))])
+    return x[rng.permutation(n)]
+
+
+@pytest.mark.parametrize("similarity", [0.88, 0.92])
+def test_small_groups_among_many_others_are_whole(similarity):
+    u = scattered(np.random.default_rng(12), 6000, similarity)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    a, b, _ = nearest(np.arange(len(u)), u, Curves(8))
+    got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+    assert got == brute(list(range(len(u))), ["t"] * len(u), u)
+
+
 def test_usable_reads_slices():
     import pyarrow as pa
 

@@ -9,7 +9,9 @@ range-partitioned along several curves into ranges of a task's size, and the
 lists its vectors find on each are merged. In a task several curves order the
 vectors. Windows of neighbouring keys whose vectors are similar merge over all
 curves, and every vector is ranked again, in full precision, among all vectors
-of its merged window.
+of its merged window. That gives nearly all lists, and a bound for each. What
+the curves leave apart is then compared too, in single precision, and ranked
+in full where it may be within a list's bound, so lists are exact within a task.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ AXES, BITS, CURVES, SPLITS, LAGS = 6, 7, 8, 3, 2
 TASK_ROWS = 100_000
 DENSE = 1_024
 MERGED = 16_384
+#: Rows and columns of a tile of what the curves left apart, and what single precision may be off by.
+TILE, OFF = 1_024, 4e-6
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -79,7 +83,7 @@ class Curves:
         return hilbert(np.clip(cells, 0, (1 << self.bits) - 1).astype(np.int64), self.bits)
 
 
-def _best(sims: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(sims: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, least: float | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block of rounded similarities: row, column and value of each row's ``k`` first. ``cols`` ascend by id."""
     sims[rows[:, None] == cols[None, :]] = -2  # not its own neighbour
     n = sims.shape[1]
@@ -119,9 +123,19 @@ def nearest(ids: np.ndarray, unit: np.ndarray, curves: Curves, k: int = NEIGHBOU
     """``(id, neighbour, similarity)`` of the ``k`` most similar vectors of each, at ``least`` or more.
 
     ``ids`` are distinct and ascend. Similarities are rounded to nine decimals,
-    equal ones go to the smaller id.
+    equal ones go to the smaller id. Lists are exact.
     """
-    n = len(ids)
+    r, c, v = _along(unit, curves, k, least)
+    if len(ids) > DENSE:
+        order = np.argsort(curves.keys(unit.astype(np.float32), 0), kind="stable")
+        r, c, v = _rest(unit, order, r, c, v, k, least)
+    v = np.round(np.einsum("ij,ij->i", unit[r], unit[c]), 9)  # the same wherever the two meet
+    return ids[r], ids[c], v
+
+
+def _along(unit: np.ndarray, curves: Curves, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, neighbour and similarity that the merged windows of the curves give."""
+    n = len(unit)
     found = []
     if n <= DENSE:
         found += list(_rank(unit, np.arange(n), k, least)) if n > 1 else []
@@ -151,8 +165,44 @@ def nearest(ids: np.ndarray, unit: np.ndarray, curves: Curves, k: int = NEIGHBOU
     if not found:
         none = np.empty(0, dtype=np.int64)
         return none, none, np.empty(0)
-    r, c, v = (np.concatenate([x[i] for x in found]) for i in range(3))
-    return ids[r], ids[c], v
+    return tuple(np.concatenate([x[i] for x in found]) for i in range(3))
+
+
+def _rest(unit: np.ndarray, order: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lists ``r, c, v`` after every two vectors were compared, tile by tile along ``order``."""
+    n = len(unit)
+    who, value = np.full((n, k), -1), np.full((n, k), -np.inf)
+    bound = np.full(n, least - OFF, dtype=np.float32)  # a similarity below changes nothing in the row's list
+
+    def put(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> None:
+        at = np.unique(r)
+        old = who[at] >= 0
+        r, c, v = np.append(np.repeat(at, k)[old.ravel()], r), np.append(who[at][old], c), np.append(value[at][old], v)
+        once = np.unique(r * n + c, return_index=True)[1]
+        r, c, v = _merge(r[once], c[once], v[once], k)
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        who[at], value[at] = -1, -np.inf
+        who[r, nth], value[r, nth] = c, v
+        bound[at] = np.maximum(value[at, -1], least) - OFF
+
+    if len(r):
+        put(r, c, v)
+    along = unit[order].astype(np.float32)
+    for a in range(0, n, TILE):
+        for b in range(a, n, TILE):
+            sims = along[a : a + TILE] @ along[b : b + TILE].T
+            if a == b:
+                np.fill_diagonal(sims, -2)
+            x, y = order[a : a + TILE], order[b : b + TILE]
+            for rows, cols, most in [(x, y, sims.max(axis=1)), (y, x, sims.max(axis=0))][: 1 if a == b else 2]:
+                rows = rows[most >= bound[rows]]
+                if len(rows):
+                    near = np.sort(cols)
+                    better = _best(np.round(unit[rows] @ unit[near].T, 9), rows, near, k, np.maximum(value[rows, -1], least))
+                    if len(better[0]):
+                        put(*better)
+    r, nth = np.nonzero(who >= 0)
+    return r, who[r, nth], value[r, nth]
 
 
 def _merge(r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,8 +269,8 @@ def similar_pairs(memories: DataFrame, k: int = NEIGHBOURS, least: float = SIMIL
 
     Memories without tenant or without usable embedding have no partners.
     Re-delivered rows count once. Every vector is indexed and queried. Within
-    a merged window lists are exact; what may be missed are neighbours that no
-    curve brings together, see the tests for the recall against brute force.
+    a task lists are exact; what may be missed are neighbours in a tenant of
+    more than ``task_rows`` that no curve brings into one range.
     """
     spark = memories.sparkSession
     scratch = scratch or Scratch(spark, "knn")
