@@ -137,6 +137,19 @@ def test_small_groups_among_many_others_are_whole(similarity):
     assert got == brute(list(range(len(u))), ["t"] * len(u), u)
 
 
+def test_many_equal_vectors_have_the_least_ids(monkeypatch):
+    import tidemark.llm.knn as knn
+
+    monkeypatch.setattr(knn, "MERGED", 600)
+    rng = np.random.default_rng(13)
+    equal = rng.standard_normal(64)
+    u = np.concatenate([np.tile(equal, (4000, 1)), equal + rng.standard_normal((20, 64)) * 0.02, rng.standard_normal((500, 64))])
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True))[rng.permutation(len(u))]
+    a, b, _ = nearest(np.arange(len(u)), u, Curves(8))
+    got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+    assert got == brute(list(range(len(u))), ["t"] * len(u), u)
+
+
 def test_usable_reads_slices():
     import pyarrow as pa
 

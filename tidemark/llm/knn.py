@@ -125,14 +125,34 @@ def nearest(ids: np.ndarray, unit: np.ndarray, curves: Curves, k: int = NEIGHBOU
     ``ids`` are distinct and ascend. Similarities are rounded to nine decimals,
     equal ones go to the smaller id. Lists are exact.
     """
-    r, c, v = _along(unit, curves, k, least)
-    if len(ids) > DENSE:
-        order = np.argsort(curves.keys(unit.astype(np.float32), 0), kind="stable")
-        r, c, v = _rest(unit, order, r, c, v, k, least)
-    v = np.round(np.einsum("ij,ij->i", unit[r], unit[c]), 9)  # the same wherever the two meet
+    kept, copies, last = _copies(unit, k)
+    own = unit[kept]
+    r, c, v = _along(own, curves, k, least)
+    if len(own) > DENSE:
+        order = np.argsort(curves.keys(own.astype(np.float32), 0), kind="stable")
+        r, c, v = _rest(own, order, r, c, v, k, least)
+    v = np.round(np.einsum("ij,ij->i", own[r], own[c]), 9)  # the same wherever the two meet
+    r, c = kept[r], kept[c]
+    if len(copies):  # a copy has the list of the last of its like that was kept
+        order = np.argsort(r, kind="stable")
+        r, c, v = r[order], c[order], v[order]
+        first, n = np.searchsorted(r, last), np.searchsorted(r, last, side="right") - np.searchsorted(r, last)
+        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        r, c, v = np.append(r, np.repeat(copies, n)), np.append(c, c[at]), np.append(v, v[at])
     return ids[r], ids[c], v
 
 
+def _copies(unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal vectors the ``k`` + 1 first are kept, as no list has more; also the other rows, and for each the last kept of its like."""
+    row = np.ascontiguousarray(unit).view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel()
+    like = np.unique(row, return_inverse=True)[1]
+    order = np.argsort(like, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(like[order]) != 0))
+    first = np.repeat(first, np.diff(np.append(first, len(order))))
+    more = np.arange(len(order)) - first > k
+    return np.sort(order[~more]), order[more], order[first[more] + k]
+
+
 def _along(unit: np.ndarray, curves: Curves, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, neighbour and similarity that the merged windows of the curves give."""
     n = len(unit)
