@@ -150,6 +150,15 @@ def test_many_equal_vectors_have_the_least_ids(monkeypatch):
     assert got == brute(list(range(len(u))), ["t"] * len(u), u)
 
 
+def test_a_tenant_in_blocks_is_whole(spark):
+    rng = np.random.default_rng(14)
+    x = np.concatenate([scattered(rng, 2500, 0.9), np.tile(rng.standard_normal(64), (700, 1))])
+    x = x[rng.permutation(len(x))]
+    rows = frame(spark, range(len(x)), ["hot"] * len(x), x)
+    got = [tuple(r)[:2] for r in similar_pairs(rows, task_rows=1500).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(list(range(len(x))), ["hot"] * len(x), x)
+
+
 def test_usable_reads_slices():
     import pyarrow as pa
 

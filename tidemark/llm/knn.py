@@ -5,19 +5,18 @@ curve; vectors that lie close in space mostly lie close on the curve, and where
 one curve cuts a neighbourhood another, of other axes and shift, doesn't.
 
 Tenants are hash-partitioned whole while they fit a task. A larger tenant is
-range-partitioned along several curves into ranges of a task's size, and the
-lists its vectors find on each are merged. In a task several curves order the
+dealt into blocks of half a task's size, every two blocks meet in one task, and
+the lists a vector finds in each are merged. In a task several curves order the
 vectors. Windows of neighbouring keys whose vectors are similar merge over all
 curves, and every vector is ranked again, in full precision, among all vectors
 of its merged window. That gives nearly all lists, and a bound for each. What
 the curves leave apart is then compared too, in single precision, and ranked
-in full where it may be within a list's bound, so lists are exact within a task.
+in full where it may be within a list's bound, so lists are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +29,9 @@ from tidemark.session import Scratch
 
 NEIGHBOURS = 5
 SIMILAR = 0.86
-#: Axes and bits of a curve, curves in a task, curves a large tenant is split along, and the rows a key window spans.
-AXES, BITS, CURVES, SPLITS, LAGS = 6, 7, 8, 3, 2
-#: Rows of one tenant that a task takes whole; vectors up to which a window is ranked against itself entirely.
+#: Axes and bits of a curve, curves in a task, and the rows a key window spans.
+AXES, BITS, CURVES, LAGS = 6, 7, 8, 2
+#: Rows of one tenant that a task takes whole; vectors up to which all, or a window, are ranked against themselves entirely.
 TASK_ROWS = 100_000
 DENSE = 1_024
 MERGED = 16_384
@@ -236,18 +235,11 @@ def _merge(r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def _prepare(width: int):
-    curves = Curves(SPLITS, width, seed=11)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, values = usable(batch.column("embedding"), width)
-            packed = pack(values)
-            unit = unpack(packed, width)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("tenant").take(take), packed, *(pa.array(curves.keys(unit, w)) for w in range(SPLITS))],
-                names=["id", "tenant", "vec", *(f"key_{w}" for w in range(SPLITS))],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tenant").take(take), pack(values)], names=["id", "tenant", "vec"])
 
     return run
 
@@ -288,45 +280,36 @@ def similar_pairs(memories: DataFrame, k: int = NEIGHBOURS, least: float = SIMIL
     """``id_a, id_b, similarity`` (``id_a < id_b``): of each memory the ``k`` most similar of its tenant, at ``least`` or more.
 
     Memories without tenant or without usable embedding have no partners.
-    Re-delivered rows count once. Every vector is indexed and queried. Within
-    a task lists are exact; what may be missed are neighbours in a tenant of
-    more than ``task_rows`` that no curve brings into one range.
+    Re-delivered rows count once. Every vector is indexed and queried, and any
+    two of a tenant meet in some task, so lists are exact. That takes time in
+    proportion to the square of a tenant's vectors; one of more than
+    ``task_rows`` is sent to as many tasks as it has blocks, less one.
     """
     spark = memories.sparkSession
     scratch = scratch or Scratch(spark, "knn")
     rows = memories.filter("id is not null").select("id", tenant_key().alias("tenant"), "embedding").filter("tenant is not null")
-    packed = scratch.write("packed", rows.mapInArrow(_prepare(width), "id bigint, tenant string, vec binary" + "".join(f", key_{w} bigint" for w in range(SPLITS))))
+    packed = scratch.write("packed", rows.mapInArrow(_prepare(width), "id bigint, tenant string, vec binary"))
     counts = packed.groupBy("tenant").count()
     total, = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()
     large = counts.filter(F.col("count") > task_rows)
-    names = {r["tenant"]: r["count"] for r in large.collect()}  # at most total / task_rows rows
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (5 * task_rows), 1)  # groups of a partition stream by one at a time
+    blocks = {r["tenant"]: -(-2 * r["count"] // task_rows) for r in large.collect()}  # at most total / task_rows rows
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     search = "a bigint, b bigint, similarity double"
 
-    def run(part: DataFrame, pairs: bool) -> DataFrame:
-        return part.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_search(width, k, least, pairs), search)
-
-    names_df = spark.createDataFrame([(t,) for t in names], "tenant string")
-    whole = packed.join(F.broadcast(names_df), "tenant", "left_anti") if names else packed
-    result = run(whole.select("id", "vec", F.col("tenant").alias("part")), True)
-    if names:
-        lists = []
-        big = packed.join(F.broadcast(names_df), "tenant", "left_semi")
-        for w in range(SPLITS):
-            cuts = []
-            pieces = {t: -(-n // task_rows) for t, n in names.items()}
-            most = max(pieces.values())
-            marks = big.groupBy("tenant").agg(F.percentile_approx(f"key_{w}", [i / (2 * most) for i in range(1, 2 * most)], 10_000).alias("q")).collect()
-            for r in marks:
-                for i in range(1, pieces[r["tenant"]]):
-                    cuts.append((r["tenant"], r["q"][round(i * 2 * most / pieces[r["tenant"]]) - 1]))
-            per = spark.createDataFrame(cuts, "tenant string, cut bigint").groupBy("tenant").agg(F.collect_list("cut").alias("cuts"))
-            placed = big.join(F.broadcast(per), "tenant").select(
-                "id", "vec", F.concat_ws("\x00", "tenant", F.size(F.filter("cuts", lambda c: c <= F.col(f"key_{w}"))).cast("string")).alias("part")
-            )
-            lists.append(run(placed, False))
-        ranked = F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "b")))  # at most SPLITS * k of a vector
-        best = reduce(DataFrame.union, lists).groupBy("a").agg(F.slice(ranked, 1, k).alias("best")).select("a", F.explode("best").alias("x"))
+    def run(part: DataFrame, pairs: bool, parts: int) -> DataFrame:
+        return part.repartition(max(least_parts, parts), "part").sortWithinPartitions("part").mapInArrow(_search(width, k, least, pairs), search)
+
+    blocks_df = spark.createDataFrame(list(blocks.items()), "tenant string, blocks int")
+    whole = packed.join(F.broadcast(blocks_df), "tenant", "left_anti") if blocks else packed
+    # groups of a partition stream by one at a time
+    result = run(whole.select("id", "vec", F.col("tenant").alias("part")), True, total // (5 * task_rows))
+    if blocks:
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        met = packed.join(F.broadcast(blocks_df), "tenant").select("id", "vec", "tenant", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        part = F.concat_ws("\x00", "tenant", F.least("own", "other"), F.greatest("own", "other"))
+        lists = run(met.filter("own <> other").select("id", "vec", part.alias("part")), False, sum(n * (n - 1) // 2 for n in blocks.values()))
+        ranked = F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "b")))  # at most k of a vector for each other block
+        best = lists.groupBy("a").agg(F.slice(ranked, 1, k).alias("best")).select("a", F.explode("best").alias("x"))
         low, high = F.least("a", "x.b"), F.greatest("a", "x.b")
         result = result.union(best.select(low.alias("a"), high.alias("b"), (-F.col("x.s")).alias("similarity")).distinct())
     return result.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "similarity")
