@@ -81,6 +81,23 @@ def test_wide_clusters_join_over_cores(spark):
     assert got(spark, np.arange(len(y)), y) == truth(np.arange(len(y)), y)
 
 
+def test_thin_chains_of_loose_vectors_stay_whole(spark, monkeypatch):
+    """Many chains of five whose links are barely similar, in many small blocks (before: cells of pivots)."""
+    import tidemark.llm.cluster as cluster
+
+    for name, value in (("LOOSE", 700), ("PER_PIVOT", 4), ("PROBES", 4)):
+        monkeypatch.setattr(cluster, name, value, raising=False)
+    rng = np.random.default_rng(12)
+    parts = []
+    for _ in range(500):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        parts.append(np.outer(np.cos(np.arange(5) * 0.52), a) + np.outer(np.sin(np.arange(5) * 0.52), b))
+    x = np.concatenate(parts)
+    ids = rng.permutation(len(x))
+    want = truth(ids, x)
+    assert len(want) == 2500 and got(spark, ids, x) == want
+
+
 def test_dirty_and_repeated_rows(spark):
     rng = np.random.default_rng(9)
     x = list(blob(rng, 4, 0.01)) + list(blob(rng, 5, 0.01))

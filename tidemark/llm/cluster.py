@@ -12,9 +12,9 @@ the vectors they cover, and Lloyd steps over all vectors move the centres.
 
 Two vectors within half the angle of similarity of one centroid are similar,
 so such vectors of a cell, its core, are joined without comparing pairs. What
-is not certain from centroids is compared: vectors of no core among each other
-in cells of several pivots, and against the cores that the triangle inequality
-leaves in reach; cores against cores in reach of each other.
+is not certain from centroids is compared: vectors of no core all among each
+other, as every two blocks of them meet, and against the cores that the
+triangle inequality leaves in reach; cores against cores in reach of each other.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ LEAST_MEMBERS = 5
 SEEDS, MOST_SEEDS, ROUNDS, STEPS = 4, 65_536, 5, 2
 #: Features that the components of a vector are hashed into.
 FEATURES = 32
-#: Loose vectors per pivot (at most MOST_SEEDS pivots), pivots a loose vector goes to, and rows compared in one block.
-PER_PIVOT, PROBES, BLOCK = 512, 8, 4_096
+#: Loose vectors in a block, rows of a tile of two blocks, rows of a block at a core, and what single precision may be off by.
+LOOSE, TILE, BLOCK, OFF = 32_768, 1_024, 4_096, 4e-6
 #: Units are nodes from here up, loose vectors are nodes by their id; ids may not be that low.
 UNITS = -(2**63)
 _EPS = 1e-6
@@ -168,32 +168,33 @@ def _angle(cos):
     return np.arccos(np.clip(cos, -1.0, 1.0))
 
 
-def _meet_loose(pivots, probes: int, blocks, width: int):
-    """Loose vectors at their nearest pivots. A pivot's many rows form blocks, and every two blocks meet in one group."""
+def _meet_loose(least: float, width: int):
+    """Per place: which loose vectors of two blocks, or of one if there is one side only, are similar, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables(batches):
-            unit = unpack(table.column("vec"), width)
-            s = unit @ pivots.value.T
-            m = min(probes, s.shape[1])
-            near = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(unit), 1))
-            ids = table.column("id").to_numpy()
-            row = np.repeat(np.arange(len(unit)), m)
-            cell = near.ravel()
-            if blocks is None:
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64))], names=["cell"])
-                continue
-            n = blocks.value[cell]
-            own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
-            rep = np.repeat(np.arange(len(row)), n)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-            low, high = np.minimum(own[rep], other), np.maximum(own[rep], other)
-            names = [f"{c}/{a}/{b}" for c, a, b in zip(cell[rep].tolist(), low.tolist(), high.tolist())]
-            at = pa.array(row[rep])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), table.column("id").combine_chunks().take(at), table.column("vec").combine_chunks().take(at)],
-                names=["place", "node", "vec"],
-            )
+        for table in groups(batches, "place"):
+            unit = unpack(table.column("vec"), width, np.float64)
+            names, code = np.unique(table.column("node").to_numpy(), return_inverse=True)
+            side = table.column("side").to_numpy()
+            rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            one = not len(cols)
+            cols = rows if one else cols
+            left, right = unit[rows].astype(np.float32), unit[cols].astype(np.float32)
+            label = np.arange(len(names))
+            for a in range(0, len(rows), TILE):
+                for b in range(a if one else 0, len(cols), TILE):
+                    right_ = right[b : b + TILE]
+                    hit = np.flatnonzero((left[a : a + TILE] @ right_.T).ravel() >= least - OFF)
+                    i, j = rows[a + hit // len(right_)], cols[b + hit % len(right_)]
+                    open_ = label[code[i]] != label[code[j]]
+                    i, j = i[open_], j[open_]
+                    for c in range(0, len(i), 1 << 16):
+                        x, y = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+                        alike = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
+                        label = components(len(names), code[x[alike]], code[y[alike]], label)
+            own = np.flatnonzero(label != np.arange(len(names)))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[label[own]])], names=["a", "b"])
 
     return run
 
@@ -274,20 +275,18 @@ def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return names[own], names[label[own]]
 
 
-def _compare(least: float, width: int, two_sides: bool):
-    """Per place: which nodes hold similar vectors, as a forest."""
+def _compare(least: float, width: int):
+    """Per place: which nodes of its two sides hold similar vectors, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "place"):
             unit = unpack(table.column("vec"), width, np.float64)
             nodes = table.column("node").to_numpy()
-            rows, cols = np.arange(len(unit)), np.arange(len(unit))
-            if two_sides:
-                side = table.column("side").to_numpy()
-                rows, cols = rows[side == 0], cols[side == 1]
+            side = table.column("side").to_numpy()
+            rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             ea, eb = [], []
             for a in range(0, len(rows), 1024):
-                for b in range(0 if two_sides else a, len(cols), 1024):
+                for b in range(0, len(cols), 1024):
                     i, j = np.nonzero(unit[rows[a : a + 1024]] @ unit[cols[b : b + 1024]].T >= least)
                     na, nb = nodes[rows[i + a]], nodes[cols[j + b]]
                     key = np.flatnonzero(na != nb)
@@ -450,22 +449,17 @@ def cluster_vectors(
 
 
 def _loose_edges(loose: DataFrame, scratch: Scratch, least: float, width: int) -> DataFrame:
-    """Forests of the similar loose vectors, compared in cells of their nearest pivots."""
-    spark = loose.sparkSession
+    """Forests of the similar loose vectors. Every two blocks of them meet, so each is sent to as many places as there are blocks."""
     n = loose.count()
     if not n:
-        return spark.createDataFrame([], "a bigint, b bigint")
-    wanted = min(MOST_SEEDS, -(-n // PER_PIVOT))
-    # about four times as many as are wanted are sorted, and at least 256
-    share = F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.lit(n)) < 4 * max(64, wanted)
-    picked = loose.filter(share).orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()
-    pivots = spark.sparkContext.broadcast(unpack(pa.array([bytes(r[0]) for r in picked], pa.binary()), width))
-    counts = np.zeros(len(pivots.value), dtype=np.int64)
-    for row in loose.mapInArrow(_meet_loose(pivots, PROBES, None, width), "cell bigint").groupBy("cell").count().collect():
-        counts[row["cell"]] = row["count"]
-    blocks = spark.sparkContext.broadcast(np.maximum(1, -(-counts // BLOCK)))
-    met = loose.mapInArrow(_meet_loose(pivots, PROBES, blocks, width), "place string, node bigint, vec binary")
-    return met.repartition("place").sortWithinPartitions("place").mapInArrow(_compare(least, width, False), "a bigint, b bigint")
+        return loose.sparkSession.createDataFrame([], "a bigint, b bigint")
+    blocks = -(-n // LOOSE)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = loose.select(F.col("id").alias("node"), "vec", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    place = F.concat_ws("/", F.least("own", "other"), F.greatest("own", "other"))
+    met = dealt.select(place.alias("place"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"), "vec")
+    parts = max(int(loose.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * (blocks + 1) // 2)
+    return met.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(_meet_loose(least, width), "a bigint, b bigint")
 
 
 def _core_edges(vectors: DataFrame, loose: DataFrame, centres, radius: np.ndarray, scratch: Scratch, least: float, theta: float, core: float, width: int) -> DataFrame:
@@ -504,5 +498,5 @@ def _core_edges(vectors: DataFrame, loose: DataFrame, centres, radius: np.ndarra
         placed.select(key.alias("place"), "node", "side", "vec")
         .repartition("place")
         .sortWithinPartitions("place")
-        .mapInArrow(_compare(least, width, True), "a bigint, b bigint")
+        .mapInArrow(_compare(least, width), "a bigint, b bigint")
     )
