@@ -125,6 +125,23 @@ def test_sizes_and_typical_members(spark):
     assert list(rows[0]["typical"]) == np.argsort(-(u @ centre), kind="stable")[:3].tolist()
 
 
+def test_typical_members_of_clusters_without_a_seed(spark, mixed):
+    """Chains and small clusters have no centre of k-means; their members are ranked by their own centroid."""
+    ids, x = mixed
+    want, at = {}, {int(n): i for i, n in enumerate(ids)}
+    for i, c in truth(ids, x):
+        want.setdefault(c, []).append(i)
+    u = unit(x.astype(np.float32).astype(float))
+    rows = cluster_vectors(frame(spark, ids, x), rounds=1, steps=0).clusters.collect()
+    assert {r["cluster_id"]: r["size"] for r in rows} == {c: len(m) for c, m in want.items()}
+    for r in rows:
+        names = np.array(sorted(want[r["cluster_id"]]))
+        own = u[[at[n] for n in names]]
+        total = own.sum(axis=0)
+        far = -np.round(own @ total / np.linalg.norm(total), 9)
+        assert list(r["typical"]) == names[np.lexsort((names, far))][:3].tolist()
+
+
 def test_nothing_usable(spark):
     res = cluster_vectors(frame(spark, [1, 2], [None, [0.0] * 64]))
     assert res.members.count() == 0 and res.clusters.count() == 0

@@ -164,6 +164,37 @@ def _final(centres, core: float, width: int):
     return run
 
 
+def _cluster_sums(width: int):
+    """Per cluster the number and the sum of its vectors, some rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables(batches):
+            unit = unpack(table.column("vec"), width, np.float64)
+            names, code, n = np.unique(table.column("cluster_id").to_numpy(), return_inverse=True, return_counts=True)
+            total = np.add.reduceat(unit[np.argsort(code, kind="stable")], np.cumsum(n) - n, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n), pa.array([r.tobytes() for r in total], pa.binary())], names=["cell", "n", "total"])
+
+    return run
+
+
+def _to_centroid(width: int):
+    """Members with the similarity to their cluster's centroid, rounded so that equal ones don't hang on the order of a sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            unit = unpack(table.column("vec"), width, np.float64)
+            centre = np.frombuffer(b"".join(table.column("total").to_pylist())).reshape(len(unit), width)
+            sim = np.einsum("ij,ij->i", unit, centre) / np.maximum(np.linalg.norm(centre, axis=1), 1e-300)
+            yield pa.RecordBatch.from_arrays(
+                [*(table.column(c).combine_chunks() for c in ("id", "cluster_id", "size")), pa.array(np.round(sim, 9))], names=["id", "cluster_id", "size", "sim"]
+            )
+
+    return run
+
+
 def _angle(cos):
     return np.arccos(np.clip(cos, -1.0, 1.0))
 
@@ -396,7 +427,7 @@ def cluster_vectors(
 
     ``members`` of the result has ``id, cluster_id``, the smallest id of the
     cluster; ``clusters`` has ``cluster_id, size, typical``, the ids nearest to
-    the centroids, nearest first. Memories without usable embedding, or like
+    the cluster's own centroid, nearest first. Memories without usable embedding, or like
     fewer than ``members`` others, are in none. Re-delivered rows count once.
     No usable embedding at all gives empty results. All rows take part in the
     seeding, in every Lloyd step and in the check.
@@ -429,20 +460,26 @@ def cluster_vectors(
     comps = join_edges(scratch.write("links", edges), scratch)
     comps = scratch.write("comps", comps)
 
-    single = final.select("id", F.coalesce(F.col("unit") + UNITS, "id").alias("node"), "unit", "sim").dropDuplicates(["id"])
+    single = final.select("id", F.coalesce(F.col("unit") + UNITS, "id").alias("node"), "unit").dropDuplicates(["id"])
     of_units = comps.filter(F.col("node") < UNITS + max(1, len(centres)))  # at most one row per centre
     in_core = single.filter("unit is not null").join(F.broadcast(of_units), "node", "left")
     others = single.filter("unit is null").join(comps, "node", "left")
-    labelled = scratch.write("labelled", in_core.union(others.select(in_core.columns)).select("id", F.coalesce("comp", "node").alias("comp"), "unit", "sim"))
+    labelled = scratch.write("labelled", in_core.union(others.select(in_core.columns)).select("id", F.coalesce("comp", "node").alias("comp")))
     sizes = scratch.write("sizes", labelled.groupBy("comp").agg(F.count("*").alias("size"), F.min("id").alias("cluster_id")).filter(F.col("size") >= members))
     with_unit = F.col("comp") < UNITS + max(1, len(centres))
     named = labelled.filter(with_unit).join(F.broadcast(sizes.filter(with_unit)), "comp")  # at most one row per centre
     named = named.union(labelled.filter(~with_unit).join(sizes.filter(~with_unit), "comp").select(named.columns))
+    # each cluster's own centroid, from sums by task; only the clusters' table reads this
+    own = named.select("id", "cluster_id", "size").join(vectors.dropDuplicates(["id"]), "id")
+    total = "cell bigint, n bigint, total binary"
+    summed = own.select("cluster_id", "vec").mapInArrow(_cluster_sums(width), total).repartition("cell").mapInArrow(_add, total)
+    near = own.join(summed.select(F.col("cell").alias("cluster_id"), "total"), "cluster_id")
+    near = near.mapInArrow(_to_centroid(width), "id bigint, cluster_id bigint, size bigint, sim double")
     # the best of every lane, then of every cluster
     ranked = lambda c: F.slice(F.sort_array(F.collect_list(c)), 1, typical)
     lane = F.pmod(F.xxhash64("id"), F.lit(max(1, rows // 10_000)))
     best = F.struct((-F.col("sim")).alias("far"), "id")
-    in_lane = named.groupBy("cluster_id", "size", lane.alias("lane")).agg(ranked(best).alias("top"))
+    in_lane = near.groupBy("cluster_id", "size", lane.alias("lane")).agg(ranked(best).alias("top"))
     spread = in_lane.select("cluster_id", "size", F.explode("top").alias("x")).groupBy("cluster_id", "size").agg(ranked("x").alias("top"))
     clusters = spread.select("cluster_id", "size", F.transform("top", lambda x: x["id"]).alias("typical"))
     return Clusters(named.select("id", "cluster_id"), clusters, centres)
