@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.visual import LOOKALIKES, consistent, lookalike_pairs, text_forms
+from tidemark.llm.visual import FURTHER, LOOKALIKES, consistent, lookalike_pairs, text_forms
 
 
 @pytest.mark.parametrize(
@@ -37,6 +37,16 @@ def test_different_look(a, b):
     assert consistent(a) != consistent(b)
 
 
+@pytest.mark.parametrize("a, b", [("Γород", "Город"), ("Πоле", "Поле"), ("Φакт", "Факт"), ("ΓΑ", "ГА"), ("ΠΟΤ", "ПОТ"), ("ⲔⲞⲦ", "KOT"), ("ⲠⲞⲢⲦ", "ПОРТ")])
+def test_same_look_without_latin(a, b):
+    assert consistent(a) == consistent(b)
+
+
+def test_further_table_adds_letters():
+    letters = [p[0] for pairs in [*LOOKALIKES.values(), *FURTHER.values()] for p in pairs.split()]
+    assert len(letters) == len(set(letters)) and all(len(p) == 2 for pairs in FURTHER.values() for p in pairs.split())
+
+
 def test_table_is_one_to_one():
     letters = [p[0] for pairs in LOOKALIKES.values() for p in pairs.split()]
     assert len(letters) == len(set(letters)) and all(len(p) == 2 for pairs in LOOKALIKES.values() for p in pairs.split())

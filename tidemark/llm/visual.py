@@ -30,18 +30,24 @@ LOOKALIKES = {
     "Cherokee": "ᎠD ᎡR ᎢT ᎥI ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB",
     "Lisu": "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU",
 }
+#: Look-alikes without a Latin letter, by their Cyrillic one, and those of Coptic.
+FURTHER = {
+    "Greek": "ΓГ ΠП ΦФ",
+    "Coptic": "ⲄГ ⲠП ⲪФ ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX ⲟo ⲣp ⲥc",
+}
+_TABLE = {s: f"{LOOKALIKES.get(s, '')} {FURTHER.get(s, '')}" for s in [*LOOKALIKES, "Coptic"]}
 #: letter -> shape, and script -> shape -> its letter. Of two letters of one script with one shape the first spells it.
-_SHAPE = {p[0]: p[1] for pairs in LOOKALIKES.values() for p in pairs.split()}
-_SPELL = {s: {p[1]: p[0] for p in reversed(pairs.split())} for s, pairs in LOOKALIKES.items()}
-#: Of a Latin letter with a look-alike: the scripts that offer it.
-_OFFERS = {x: frozenset(["Latin", *(s for s in _SPELL if x in _SPELL[s])]) for x in set(_SHAPE.values())}
+_SHAPE = {p[0]: p[1] for pairs in _TABLE.values() for p in pairs.split()}
+_SPELL = {s: {p[1]: p[0] for p in reversed(pairs.split())} for s, pairs in _TABLE.items()}
+#: Of a shape: the scripts that offer it.
+_OFFERS = {x: frozenset(["Latin" if x.isascii() else "Cyrillic", *(s for s in _SPELL if x in _SPELL[s])]) for x in set(_SHAPE.values())}
 
 #: Characters that print nothing. Signs that prefix figures are format characters, but print.
 _NOTHING = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Cc}--\p{Prepended_Concatenation_Mark}--[\t\n\v\f\r\x85]]", regex.V1)
 _BLANK = regex.compile(r"[\p{Zs}-- ]", regex.V1)
 _SPLIT = regex.compile(r"([\x00-\x20]+)")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_SCRIPTS = [*LOOKALIKES, "Latin"]
+_SCRIPTS = [*_TABLE, "Latin"]
 _SCRIPT_OF = regex.compile("|".join(rf"(?P<{s}>\p{{Script={s}}})" for s in _SCRIPTS))
 
 
@@ -76,7 +82,7 @@ def spell(word: str) -> tuple[str, str]:
     if "Latin" in resolved or not resolved:
         script = "Latin"
     else:
-        script = next((s for s in LOOKALIKES if s in resolved), "Latin")
+        script = next((s for s in _TABLE if s in resolved), "Latin")
     table = _SPELL.get(script, {})
     shapes = (_SHAPE.get(c, c) for c in word)
     out = "".join(table.get(x, x) for x in shapes)
