@@ -72,3 +72,14 @@ def test_empty_inputs(spark, docs):
     assert mixed.count() == 0 and report.first()["actual_tokens"] == 0
     mixed, report = mix_documents(docs, targets.limit(0))
     assert mixed.count() == 0 and report.count() == 0
+
+
+def test_a_capped_source_falls_short_at_twice_the_default(spark, docs, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 3), ("tiny", 0.2, 2)], TARGETS).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    short = {r["source"]: r for r in QUERIES["p7_short"](spark, str(tmp_path)).collect()}
+    assert all(r["met"] for r in QUERIES["p7_shares"](spark, str(tmp_path)).collect())
+    assert not short["tiny"]["met"] and short["tiny"]["actual_tokens"] == short["tiny"]["most_tokens"] < short["tiny"]["target_tokens"]
+    assert short["big"]["met"]
