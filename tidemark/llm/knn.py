@@ -4,14 +4,18 @@ A vector is projected at random to a few axes, shifted, and placed on a Hilbert
 curve; vectors that lie close in space mostly lie close on the curve, and where
 one curve cuts a neighbourhood another, of other axes and shift, doesn't.
 
-Tenants are hash-partitioned whole while they fit a task. A larger tenant is
-dealt into blocks of half a task's size, every two blocks meet in one task, and
-the lists a vector finds in each are merged. In a task several curves order the
-vectors. Windows of neighbouring keys whose vectors are similar merge over all
-curves, and every vector is ranked again, in full precision, among all vectors
-of its merged window. That gives nearly all lists, and a bound for each. What
-the curves leave apart is then compared too, in single precision, and ranked
-in full where it may be within a list's bound, so lists are exact.
+All vectors of all tenants, whatever their number, go the same way. Spark
+range-partitions them by curve, tenant and key, so a tenant may share a task
+with others or be cut into many. A task streams its part of a curve through in
+blocks. In a block every vector meets a window of neighbouring keys on each
+side, on this curve and on further ones over the block; products in single
+precision choose what is ranked again in double. Where a cut between two tasks
+runs through a tenant, the rows on both sides of it, a window each, meet once
+more. The lists that a vector got from windows and curves are then merged.
+
+Equal vectors of a tenant have one key on every curve and would fill windows.
+Of more than a list holds only the least ids are searched; the others share
+the list of the last of these.
 """
 
 from __future__ import annotations
@@ -23,20 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.vectors import WIDTH, components, groups, pack, unpack, usable
+from tidemark.llm.vectors import WIDTH, pack, unpack, usable
+from tidemark.operators.skew import join_groups, least_of_group
 from tidemark.operators.treeagg import tenant_key
 from tidemark.session import Scratch
 
 NEIGHBOURS = 5
 SIMILAR = 0.86
-#: Axes and bits of a curve, curves in a task, and the rows a key window spans.
-AXES, BITS, CURVES, LAGS = 6, 7, 8, 2
-#: Rows of one tenant that a task takes whole; vectors up to which all, or a window, are ranked against themselves entirely.
-TASK_ROWS = 100_000
-DENSE = 1_024
-MERGED = 16_384
-#: Rows and columns of a tile of what the curves left apart, and what single precision may be off by.
-TILE, OFF = 1_024, 4e-6
+#: Axes and bits of a curve; curves along which Spark cuts, and orders in a block for each of them, the curve among them.
+AXES, BITS, SPLITS, ORDERS = 6, 7, 2, 2
+#: Rows of a tile, tiles that a tile meets on each side, rows of a block, and tasks of a curve pass at most (tasks then get longer, not blocks).
+TILE, BAND, BLOCK, MOST_TASKS = 1_024, 4, 65_536, 20_000
+HALO = TILE * BAND
+#: What single precision may be off by, and the units of a list's distances.
+OFF, UNITS = 4e-6, 1_000_000_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -82,234 +86,255 @@ class Curves:
         return hilbert(np.clip(cells, 0, (1 << self.bits) - 1).astype(np.int64), self.bits)
 
 
-def _best(sims: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, least: float | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block of rounded similarities: row, column and value of each row's ``k`` first. ``cols`` ascend by id."""
-    sims[rows[:, None] == cols[None, :]] = -2  # not its own neighbour
-    n = sims.shape[1]
-    if n > k + 1:
-        kth = np.maximum(np.partition(sims, n - k, axis=1)[:, n - k], least)
-    else:
-        kth = np.full(len(sims), least)
-    r, c = np.nonzero(sims >= kth[:, None])
-    v = sims[r, c]
+def _first(r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries row, column, value: each row's ``k`` best, equal ones by column; and which of the row's each is."""
     order = np.lexsort((c, -v, r))
     r, c, v = r[order], c[order], v[order]
-    new = np.append(True, r[1:] != r[:-1]) if len(r) else np.empty(0, dtype=bool)
-    nth = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0)) if len(r) else r
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
     keep = nth < k
-    return rows[r[keep]], cols[c[keep]], v[keep]
-
-
-def _rank(unit: np.ndarray, members: np.ndarray, k: int, least: float):
-    """The best of each member among all members, block of rows by block of rows."""
-    own = unit[members]
-    step = max(64, (1 << 22) // len(members))
-    for a in range(0, len(members), step):
-        yield _best(np.round(own[a : a + step] @ own.T, 9), members[a : a + step], members, k, least)
-
+    return r[keep], c[keep], v[keep], nth[keep]
+
+
+class Lists:
+    """The best ``k`` of each of some vectors, in the order of ids, as windows show them."""
+
+    def __init__(self, unit: np.ndarray, k: int, least: float):
+        self.unit, self.single, self.k, self.least = unit, unit.astype(np.float32), k, least
+        self.who = np.full((len(unit), k), -1)
+        self.value = np.full((len(unit), k), -np.inf)
+        self.bound = np.full(len(unit), least - OFF, dtype=np.float32)  # a similarity below changes nothing in the row's list
+
+    def along(self, order: np.ndarray, band: int = BAND) -> bool:
+        """Every tile of ``order`` meets itself and the ``band`` tiles after it. Tells if every two vectors have met."""
+        n = len(order)
+        held = self.single[order]
+        for a in range(0, n, TILE):
+            for b in range(a, min(n, a + (band + 1) * TILE), TILE):
+                sims = held[a : a + TILE] @ held[b : b + TILE].T
+                if a == b:
+                    np.fill_diagonal(sims, -2)
+                self._show(sims, sims.max(axis=1), order[a : a + TILE], order[b : b + TILE])
+                if a != b:
+                    self._show(sims.T, sims.max(axis=0), order[b : b + TILE], order[a : a + TILE])
+        return n <= (band + 1) * TILE
+
+    def _show(self, sims: np.ndarray, most: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+        hit = np.flatnonzero(most >= self.bound[rows])
+        if not len(hit):
+            return
+        part, floor = sims[hit], self.bound[rows[hit]]
+        if part.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(part, -self.k, axis=1)[:, -self.k] - np.float32(2 * OFF))
+        i, j = np.nonzero(part >= floor[:, None])
+        r, c = rows[hit[i]], cols[j]
+        v = np.round(np.einsum("ij,ij->i", self.unit[r], self.unit[c]), 9)  # the same wherever the two meet
+        good = v >= np.maximum(self.value[r, -1], self.least)
+        r, c, v = r[good], c[good], v[good]
+        if not len(r):
+            return
+        at = np.unique(r)
+        old = self.who[at] >= 0
+        r, c, v = np.append(r, np.repeat(at, self.k)[old.ravel()]), np.append(c, self.who[at][old]), np.append(v, self.value[at][old])
+        once = np.unique(r * len(self.unit) + c, return_index=True)[1]
+        r, c, v, nth = _first(r[once], c[once], v[once], self.k)
+        self.who[at], self.value[at] = -1, -np.inf
+        self.who[r, nth], self.value[r, nth] = c, v
+        self.bound[at] = np.maximum(self.value[at, -1], self.least) - OFF
 
-def _windows(unit: np.ndarray, members: np.ndarray, keys: list[np.ndarray], k: int, least: float):
-    """For a merged window too wide to rank against itself: the best within MERGED neighbours on every curve."""
-    for key in keys:
-        order = members[np.argsort(key[members], kind="stable")]
-        for a in range(0, len(order), 256):
-            near = np.sort(order[max(0, a - MERGED // 2) : a + 256 + MERGED // 2])
-            rows = order[a : a + 256]
-            yield _best(np.round(unit[rows] @ unit[near].T, 9), rows, near, k, least)
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, nth = np.nonzero(self.who >= 0)
+        return r, self.who[r, nth], self.value[r, nth]
 
 
-def nearest(ids: np.ndarray, unit: np.ndarray, curves: Curves, k: int = NEIGHBOURS, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(id, neighbour, similarity)`` of the ``k`` most similar vectors of each, at ``least`` or more.
+def nearest(ids: np.ndarray, unit: np.ndarray, curves: Curves, which: range | list[int], k: int = NEIGHBOURS, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(id, neighbour, similarity)`` of the ``k`` most similar vectors that windows on the curves ``which`` show.
 
     ``ids`` are distinct and ascend. Similarities are rounded to nine decimals,
-    equal ones go to the smaller id. Lists are exact.
+    equal ones go to the smaller id. Curves on which no new window would be
+    seen, as one held all vectors, are left out.
     """
-    kept, copies, last = _copies(unit, k)
-    own = unit[kept]
-    r, c, v = _along(own, curves, k, least)
-    if len(own) > DENSE:
-        order = np.argsort(curves.keys(own.astype(np.float32), 0), kind="stable")
-        r, c, v = _rest(own, order, r, c, v, k, least)
-    v = np.round(np.einsum("ij,ij->i", own[r], own[c]), 9)  # the same wherever the two meet
-    r, c = kept[r], kept[c]
-    if len(copies):  # a copy has the list of the last of its like that was kept
-        order = np.argsort(r, kind="stable")
-        r, c, v = r[order], c[order], v[order]
-        first, n = np.searchsorted(r, last), np.searchsorted(r, last, side="right") - np.searchsorted(r, last)
-        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        r, c, v = np.append(r, np.repeat(copies, n)), np.append(c, c[at]), np.append(v, v[at])
+    lists = Lists(unit, k, least)
+    for w in which:
+        if lists.along(np.argsort(curves.keys(lists.single, w), kind="stable")):
+            break
+    r, c, v = lists.entries()
     return ids[r], ids[c], v
 
 
-def _copies(unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal vectors the ``k`` + 1 first are kept, as no list has more; also the other rows, and for each the last kept of its like."""
-    row = np.ascontiguousarray(unit).view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel()
-    like = np.unique(row, return_inverse=True)[1]
-    order = np.argsort(like, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(like[order]) != 0))
-    first = np.repeat(first, np.diff(np.append(first, len(order))))
-    more = np.arange(len(order)) - first > k
-    return np.sort(order[~more]), order[more], order[first[more] + k]
-
-
-def _along(unit: np.ndarray, curves: Curves, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, neighbour and similarity that the merged windows of the curves give."""
-    n = len(unit)
-    found = []
-    if n <= DENSE:
-        found += list(_rank(unit, np.arange(n), k, least)) if n > 1 else []
-    else:
-        single = unit.astype(np.float32)
-        label, keys = np.arange(n), []
-        for w in range(len(curves.axes)):
-            key = curves.keys(single, w)
-            keys.append(key)
-            order = np.argsort(key, kind="stable")
-            along = single[order]
-            for lag in range(1, LAGS + 1):
-                near = np.einsum("ij,ij->i", along[:-lag], along[lag:]) >= least - 1e-6
-                label = components(n, order[:-lag][near], order[lag:][near], label)
-        order = np.argsort(label, kind="stable")
-        cuts = np.flatnonzero(np.diff(label[order])) + 1
-        wide = []
-        for a, b in zip([0, *cuts], [*cuts, n]):
-            if b - a > MERGED:
-                wide.append(order[a:b])
-            elif b - a > 1:
-                found += _rank(unit, order[a:b], k, least)
-        for members in wide:
-            lists = list(_windows(unit, members, keys, k, least))
-            r, c, v = (np.concatenate([x[i] for x in lists]) for i in range(3))
-            found.append(_merge(r, c, v, k))
-    if not found:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, np.empty(0)
-    return tuple(np.concatenate([x[i] for x in found]) for i in range(3))
-
-
-def _rest(unit: np.ndarray, order: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lists ``r, c, v`` after every two vectors were compared, tile by tile along ``order``."""
-    n = len(unit)
-    who, value = np.full((n, k), -1), np.full((n, k), -np.inf)
-    bound = np.full(n, least - OFF, dtype=np.float32)  # a similarity below changes nothing in the row's list
-
-    def put(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> None:
-        at = np.unique(r)
-        old = who[at] >= 0
-        r, c, v = np.append(np.repeat(at, k)[old.ravel()], r), np.append(who[at][old], c), np.append(value[at][old], v)
-        once = np.unique(r * n + c, return_index=True)[1]
-        r, c, v = _merge(r[once], c[once], v[once], k)
-        nth = np.arange(len(r)) - np.searchsorted(r, r)
-        who[at], value[at] = -1, -np.inf
-        who[r, nth], value[r, nth] = c, v
-        bound[at] = np.maximum(value[at, -1], least) - OFF
-
-    if len(r):
-        put(r, c, v)
-    along = unit[order].astype(np.float32)
-    for a in range(0, n, TILE):
-        for b in range(a, n, TILE):
-            sims = along[a : a + TILE] @ along[b : b + TILE].T
-            if a == b:
-                np.fill_diagonal(sims, -2)
-            x, y = order[a : a + TILE], order[b : b + TILE]
-            for rows, cols, most in [(x, y, sims.max(axis=1)), (y, x, sims.max(axis=0))][: 1 if a == b else 2]:
-                rows = rows[most >= bound[rows]]
-                if len(rows):
-                    near = np.sort(cols)
-                    better = _best(np.round(unit[rows] @ unit[near].T, 9), rows, near, k, np.maximum(value[rows, -1], least))
-                    if len(better[0]):
-                        put(*better)
-    r, nth = np.nonzero(who >= 0)
-    return r, who[r, nth], value[r, nth]
-
-
-def _merge(r: np.ndarray, c: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((c, -v, r))
-    r, c, v = r[order], c[order], v[order]
-    fresh = np.append(True, (r[1:] != r[:-1]) | (c[1:] != c[:-1]))
-    r, c, v = r[fresh], c[fresh], v[fresh]
-    new = np.append(True, r[1:] != r[:-1])
-    nth = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-    return r[nth < k], c[nth < k], v[nth < k]
-
-
-def _prepare(width: int):
+def _prepare(width: int, curves: Curves | None, which: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, values = usable(batch.column("embedding"), width)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tenant").take(take), pack(values)], names=["id", "tenant", "vec"])
+            take, vec = pa.array(at), pack(values)
+            out = [batch.column("id").take(take), batch.column("tenant").take(take), vec]
+            if curves is not None:
+                unit = unpack(vec, width)
+                keys = np.stack([curves.keys(unit, w) for w in which], axis=1) if len(at) else np.empty((0, len(which)), dtype=np.int64)
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(which), pa.int32()), pa.array(keys.ravel(), pa.int64())))
+            yield pa.RecordBatch.from_arrays(out, names=["id", "tenant", "vec", "keys"][: len(out)])
 
     return run
 
 
-def _search(width: int, k: int, least: float, pairs: bool):
+def _runs(batches: Iterator[pa.RecordBatch], *whole: str) -> Iterator[pa.Table]:
+    """Rows sorted by ``whole`` and tenant as blocks of one value of each.
+
+    A block is at most BLOCK rows and, but for a run's first, the HALO rows before.
+    """
+    held: list[pa.Table] = []
+    size, carried, last = 0, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        tenant = table.column("tenant").combine_chunks().dictionary_encode()
+        code = tenant.indices.to_numpy(zero_copy_only=False)
+        others = [table.column(c).to_numpy() for c in whole]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in [code, *others]], axis=0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(code)]):
+            name = (tenant.dictionary[int(code[a])].as_py(), *(int(x[a]) for x in others))
+            if held and name != last:
+                yield pa.concat_tables(held)
+                held, size, carried = [], 0, 0
+            last = name
+            while a < b:
+                if size - carried >= BLOCK:
+                    block = pa.concat_tables(held)
+                    yield block
+                    held, size, carried = [block.slice(size - HALO)], HALO, HALO
+                n = min(b - a, BLOCK + carried - size)
+                held.append(table.slice(a, n))
+                size += n
+                a += n
+    if held:
+        yield pa.concat_tables(held)
+
+
+_FOUND = "a bigint, b bigint, far int, cut int, curve int, id bigint, tenant string, vec binary"
+
+
+def _listed(table: pa.Table, curves: Curves, which: list[int], width: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+    if len(ids) < 2:
+        return None
+    unit = unpack(table.column("vec").combine_chunks().take(pa.array(first)), width, np.float64)
+    a, b, v = nearest(ids, unit, curves, which, k, least)
+    return a, b, np.rint((1 - v) * UNITS).astype(np.int32)
+
+
+def _entries(parts: list, names: list[str]) -> pa.RecordBatch:
+    a, b, far = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.argsort(a, kind="stable")
+    got = {"a": pa.array(a[order]), "b": pa.array(b[order]), "far": pa.array(far[order])}
+    kinds = {"cut": pa.int32(), "curve": pa.int32(), "id": pa.int64(), "tenant": pa.string(), "vec": pa.binary()}
+    return pa.RecordBatch.from_arrays([got[n] if n in got else pa.nulls(len(a), kinds[n]) for n in names], names=names)
+
+
+def _search(curves: Curves, width: int, k: int, least: float, orders: int):
+    """Of one part of the curves, in order: lists of all vectors, and the rows of a window next to a cut that runs through a tenant."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curves = Curves(CURVES, width)
-        out: list = []
-        size = 0
-        for table in groups(batches, "part"):
-            ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
-            if len(ids) > 1:
-                unit = unpack(table.column("vec").combine_chunks().take(pa.array(first)), width, np.float64)
-                a, b, v = nearest(ids, unit, curves, k, least)
-                if pairs and len(a):
-                    low, high = np.minimum(a, b), np.maximum(a, b)
-                    order = np.lexsort((high, low))
-                    low, high, v = low[order], high[order], v[order]
-                    fresh = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-                    a, b, v = low[fresh], high[fresh], v[fresh]
-                out.append((a, b, v))
-                size += len(a)
+        out, size = [], 0
+        first, last = True, None
+
+        def edge(table: pa.Table, cut: int) -> pa.RecordBatch:
+            n = table.num_rows
+            own = {c: table.column(c).combine_chunks() for c in ("curve", "id", "tenant", "vec")}
+            own["cut"] = pa.array(np.full(n, cut, dtype=np.int32))
+            none = {"a": pa.int64(), "b": pa.int64(), "far": pa.int32()}
+            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, none[c]) for c in names], names=names)
+
+        for table in _runs(batches, "curve"):
+            part, curve = table.column("part")[0].as_py(), table.column("curve")[0].as_py()
+            if first:
+                yield edge(table.slice(0, HALO), part - 1)
+                first = False
+            last = table, part
+            got = _listed(table, curves, [curve * orders + i for i in range(orders)], width, k, least)
+            if got is not None:
+                out.append(got)
+                size += len(got[0])
             if size > 200_000:
-                yield _batch(out)
+                yield _entries(out, names)
                 out, size = [], 0
         if size:
-            yield _batch(out)
+            yield _entries(out, names)
+        if last is not None:
+            table, part = last
+            yield edge(table.slice(max(0, table.num_rows - HALO)), part)
 
     return run
 
 
-def _batch(parts: list) -> pa.RecordBatch:
-    a, b, v = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(v)], names=["a", "b", "similarity"])
+def _seams(curves: Curves, width: int, k: int, least: float, orders: int):
+    """Lists of the rows on both sides of a cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "cut", "curve"):
+            curve = table.column("curve")[0].as_py()
+            got = _listed(table, curves, [curve * orders], width, k, least)
+            if got is not None and len(got[0]):
+                yield _entries([got], ["a", "b", "far"])
+
+    return run
 
 
-def similar_pairs(memories: DataFrame, k: int = NEIGHBOURS, least: float = SIMILAR, width: int = WIDTH, scratch: Scratch | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def similar_pairs(
+    memories: DataFrame, k: int = NEIGHBOURS, least: float = SIMILAR, width: int = WIDTH, scratch: Scratch | None = None, splits: int = SPLITS, orders: int = ORDERS, part_rows: int = BLOCK
+) -> DataFrame:
     """``id_a, id_b, similarity`` (``id_a < id_b``): of each memory the ``k`` most similar of its tenant, at ``least`` or more.
 
     Memories without tenant or without usable embedding have no partners.
-    Re-delivered rows count once. Every vector is indexed and queried, and any
-    two of a tenant meet in some task, so lists are exact. That takes time in
-    proportion to the square of a tenant's vectors; one of more than
-    ``task_rows`` is sent to as many tasks as it has blocks, less one.
+    Re-delivered rows count once. Every vector is indexed and queried, along
+    ``splits`` curves in Spark and ``orders`` in a block for each. A vector
+    meets at least HALO neighbours on both sides of each, so tenants of up to
+    HALO vectors have exact lists; in larger ones a neighbour that lies
+    farther on all curves is lost. ``part_rows`` is about what a task gets.
     """
     spark = memories.sparkSession
     scratch = scratch or Scratch(spark, "knn")
     rows = memories.filter("id is not null").select("id", tenant_key().alias("tenant"), "embedding").filter("tenant is not null")
-    packed = scratch.write("packed", rows.mapInArrow(_prepare(width), "id bigint, tenant string, vec binary"))
-    counts = packed.groupBy("tenant").count()
-    total, = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()
-    large = counts.filter(F.col("count") > task_rows)
-    blocks = {r["tenant"]: -(-2 * r["count"] // task_rows) for r in large.collect()}  # at most total / task_rows rows
-    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    search = "a bigint, b bigint, similarity double"
-
-    def run(part: DataFrame, pairs: bool, parts: int) -> DataFrame:
-        return part.repartition(max(least_parts, parts), "part").sortWithinPartitions("part").mapInArrow(_search(width, k, least, pairs), search)
-
-    blocks_df = spark.createDataFrame(list(blocks.items()), "tenant string, blocks int")
-    whole = packed.join(F.broadcast(blocks_df), "tenant", "left_anti") if blocks else packed
-    # groups of a partition stream by one at a time
-    result = run(whole.select("id", "vec", F.col("tenant").alias("part")), True, total // (5 * task_rows))
-    if blocks:
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        met = packed.join(F.broadcast(blocks_df), "tenant").select("id", "vec", "tenant", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        part = F.concat_ws("\x00", "tenant", F.least("own", "other"), F.greatest("own", "other"))
-        lists = run(met.filter("own <> other").select("id", "vec", part.alias("part")), False, sum(n * (n - 1) // 2 for n in blocks.values()))
-        ranked = F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "b")))  # at most k of a vector for each other block
-        best = lists.groupBy("a").agg(F.slice(ranked, 1, k).alias("best")).select("a", F.explode("best").alias("x"))
-        low, high = F.least("a", "x.b"), F.greatest("a", "x.b")
-        result = result.union(best.select(low.alias("a"), high.alias("b"), (-F.col("x.s")).alias("similarity")).distinct())
-    return result.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "similarity")
+    total = memories.count()
+    curves = Curves(splits * orders, width)
+    which = [s * orders for s in range(splits)]
+    plain = rows.mapInArrow(_prepare(width, None, []), "id bigint, tenant string, vec binary").withColumn("like", F.unhex(F.md5("vec")))
+    equal = scratch.write("equal", plain.groupBy("tenant", "like").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1))
+    some = bool(equal.limit(1).count())
+    keyed = rows.mapInArrow(_prepare(width, curves, which), "id bigint, tenant string, vec binary, keys array<bigint>")
+    if some:
+        copies = join_groups(plain, equal, ["tenant", "like"], equal, total)
+        few = least_of_group(copies, ["tenant", "like"], "id", ["vec"], k + 1, total)
+        firsts = scratch.write("firsts", few.withColumnRenamed("values", "ids"))  # per group the least ids and the vector
+        back = firsts.select(F.explode("ids").alias("id"), "tenant", "vec")
+        alone = keyed.withColumn("like", F.unhex(F.md5("vec"))).join(equal.select("tenant", "like"), ["tenant", "like"], "left_anti").drop("like")
+        keyed = alone.select("id", "tenant", "vec", "keys").union(back.mapInArrow(_rekey(width, curves, which), "id bigint, tenant string, vec binary, keys array<bigint>"))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, total * splits // (4 * HALO)), min(MOST_TASKS, total * splits // part_rows))
+    placed = keyed.select("id", "tenant", "vec", F.posexplode("keys").alias("curve", "key"))
+    ordered = placed.repartitionByRange(parts, "curve", "tenant", "key", "id").sortWithinPartitions("curve", "tenant", "key", "id")
+    ordered = ordered.select("id", "tenant", "vec", "curve", F.spark_partition_id().alias("part"))
+    found = scratch.write("found", ordered.mapInArrow(_search(curves, width, k, least, orders), _FOUND))
+    cuts = found.filter("cut is not null and cut >= 0 and id is not null")
+    seams = cuts.select("id", "tenant", "vec", "curve", "cut").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 4), "cut")
+    seams = seams.sortWithinPartitions("cut", "curve", "tenant").mapInArrow(_seams(curves, width, k, least, orders), "a bigint, b bigint, far int")
+    lists = found.filter("a is not null").select("a", "b", "far").union(seams)
+    best = lists.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "b"))), 1, k).alias("best"))  # at most k of each window
+    if some:
+        best = scratch.write("best", best)
+        shared = firsts.filter(F.size("ids") > k).join(best.withColumnRenamed("a", "last"), F.element_at("ids", k + 1) == F.col("last")).select("tenant", "like", "ids", "best")
+        others = join_groups(plain.drop("vec"), shared, ["tenant", "like"], equal, total).filter(~F.array_contains("ids", F.col("id")))
+        best = best.union(others.select("id", "best").dropDuplicates(["id"]))
+    each = best.select("a", F.explode("best").alias("x"))
+    pairs = each.select(F.least("a", "x.b").alias("id_a"), F.greatest("a", "x.b").alias("id_b"), "x.far").distinct()
+    return pairs.select("id_a", "id_b", F.round(1 - F.col("far") / UNITS, 9).alias("similarity"))
+
+
+def _rekey(width: int, curves: Curves, which: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = unpack(batch.column("vec"), width)
+            keys = np.stack([curves.keys(unit, w) for w in which], axis=1) if len(unit) else np.empty((0, len(which)), dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * len(which), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tenant"), batch.column("vec"), lists], names=["id", "tenant", "vec", "keys"])
+
+    return run
