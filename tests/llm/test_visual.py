@@ -82,3 +82,17 @@ def test_empty_table(spark):
 def test_a_hot_form_of_equal_copies_gives_no_pairs(spark):
     df = spark.range(3000).selectExpr("id doc_id", "'same text' text")
     assert lookalike_pairs(df).count() == 0
+
+
+def test_a_hot_form_with_one_odd_spelling(spark):
+    """Copies of one text aren't paired with each other: only the pairs asked for are ever made."""
+    df = spark.range(20_001).selectExpr("id doc_id", "if(id = 77, 'same t\u0435xt', 'same text') text")
+    got = lookalike_pairs(df)
+    assert got.count() == 20_000 == got.distinct().count()
+    assert got.filter("doc_id_a = 77 or doc_id_b = 77").count() == 20_000 and got.filter("doc_id_a >= doc_id_b").count() == 0
+
+
+def test_texts_with_many_copies_each_and_repeated_rows(spark):
+    df = spark.range(9_000).selectExpr("id % 8000 doc_id", "element_at(array('p\u0430y', 'pay', 'pa\u0443', 'pay '), cast(id % 8000 % 4 as int) + 1) text")
+    got = lookalike_pairs(df)
+    assert got.count() == got.distinct().count() == 3 * 2000 * 2000

@@ -22,6 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import join_groups
+from tidemark.session import Scratch
+
+#: Documents of one text in a block of pairs.
+CHUNK = 4_096
 #: Letters of other scripts and the Latin letters they look like, after the Unicode confusables.
 LOOKALIKES = {
     "Cyrillic": "АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT ХX УY ҮY ԌG ԚQ ԜW ѴV ӀI аa сc ԁd еe һh іi јj ӏl оo рp ԛq гr ѕs ѵv ԝw хx уy",
@@ -192,19 +197,32 @@ def text_forms(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_forms(keep_text), schema)
 
 
-def lookalike_pairs(documents: DataFrame) -> DataFrame:
+def lookalike_pairs(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Pairs of documents with non-empty texts that differ as strings, but have one form.
 
-    Only keys are shuffled. Forms that a single text has are left out by an
-    aggregation that combines before it shuffles, so any number of equal copies
-    costs nothing; the pairs are those of different texts.
+    Texts are read once, and only keys go on. Distinct texts of a form are
+    paired, so equal copies cost nothing until the pairs of texts are written
+    out as pairs of documents. That is done in blocks of at most about CHUNK
+    documents of either text, each a group of its own, so a text with a third
+    of all documents is spread like any other. Null texts are in no pair; no
+    documents give none.
     """
-    keys = text_forms(documents.filter("text <> ''"), keep_text=False).select("doc_id", "form_key", "raw_key")
-    several = keys.groupBy("form_key").agg(F.min("raw_key").alias("low"), F.max("raw_key").alias("high")).filter("low <> high")
-    a = keys.join(several.select("form_key"), "form_key", "left_semi")
-    b = a.select(F.col("doc_id").alias("doc_id_b"), "form_key", F.col("raw_key").alias("raw_b"))
-    return (
-        a.join(b, "form_key")
-        .filter("doc_id < doc_id_b and raw_key <> raw_b")
-        .select(F.col("doc_id").alias("doc_id_a"), "doc_id_b")
-    )
+    scratch = scratch or Scratch(documents.sparkSession, "visual")
+    keys = scratch.write("keys", text_forms(documents.filter("text <> ''"), keep_text=False).select("doc_id", "form_key", "raw_key"))
+    texts = keys.groupBy("form_key", "raw_key").agg(F.count("*").alias("n"))
+    several = texts.groupBy("form_key").agg(F.count("*").alias("texts")).filter("texts > 1").select("form_key")
+    texts = scratch.write("texts", texts.join(several, "form_key").withColumn("lanes", F.ceil(F.col("n") / CHUNK).cast("int")))
+    placed = join_groups(keys.select("doc_id", "raw_key"), texts.select("raw_key", "lanes"), ["raw_key"], texts, keys.count())
+    lane = F.pmod(F.xxhash64("doc_id"), F.col("lanes")).cast("int")
+    chunks = placed.groupBy("raw_key", lane.alias("lane")).agg(F.collect_set("doc_id").alias("ids"))  # about CHUNK
+    chunks = scratch.write("chunks", chunks)
+
+    def side(n: str) -> DataFrame:
+        return texts.select("form_key", F.col("raw_key").alias(f"raw_{n}"), F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias(f"lane_{n}"))
+
+    blocks = side("a").join(side("b"), "form_key").filter("raw_a < raw_b").drop("form_key")
+    key = ["raw_a", "lane_a", "raw_b", "lane_b"]
+    a = blocks.join(chunks.toDF("raw_a", "lane_a", "ids_a"), ["raw_a", "lane_a"]).select(*key, "ids_a")
+    b = blocks.join(chunks.toDF("raw_b", "lane_b", "ids_b"), ["raw_b", "lane_b"]).select(*key, "ids_b")
+    met = a.join(b, key).select(F.explode("ids_a").alias("a"), "ids_b").select("a", F.explode("ids_b").alias("b"))
+    return met.filter("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
