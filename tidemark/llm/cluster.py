@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.vectors import WIDTH, components, groups, pack, tables, unpack, usable
@@ -34,6 +34,8 @@ SIMILAR = 0.86
 LEAST_MEMBERS = 5
 #: Seeds drawn in a round: SEEDS times the root of the rows, at most MOST_SEEDS (16 MB of vectors); rounds; Lloyd steps.
 SEEDS, MOST_SEEDS, ROUNDS, STEPS = 4, 65_536, 5, 2
+#: Tasks that compare the seeds with each other, at most.
+MERGERS = 64
 #: Features that the components of a vector are hashed into.
 FEATURES = 32
 #: Loose vectors in a block, rows of a tile of two blocks, rows of a block at a core, and what single precision may be off by.
@@ -109,9 +111,7 @@ def _sums(centres, width: int):
         n, total = np.zeros(k, dtype=np.int64), np.zeros((k, width))
         for table in tables(batches):
             unit = unpack(table.column("vec"), width)
-            who, sim = _top(unit, centres.value)
-            near = sim >= 0.5  # strays don't pull a centroid
-            who, unit = who[near], unit[near]
+            who, _ = _top(unit, centres.value)
             n += np.bincount(who, minlength=k)
             order = np.argsort(who, kind="stable")
             cells, at = np.unique(who[order], return_index=True)
@@ -238,12 +238,13 @@ def _reach_loose(centres, radius, theta: float, width: int):
             unit = unpack(table.column("vec"), width)
             limit = np.cos(np.minimum(radius.value + theta, np.pi)) - 1e-5
             rows, cells, far = [], [], []
-            for c in range(0, len(centres.value), 4096):
-                s = unit @ centres.value[c : c + 4096].T
-                r, j = np.nonzero(s >= limit[c : c + 4096])
-                rows.append(r)
-                cells.append(j + c)
-                far.append(_angle(s[r, j]))
+            for a in range(0, len(unit), TILE):
+                for c in range(0, len(centres.value), 4096):
+                    s = unit[a : a + TILE] @ centres.value[c : c + 4096].T
+                    r, j = np.nonzero(s >= limit[c : c + 4096])
+                    rows.append(r + a)
+                    cells.append(j + c)
+                    far.append(_angle(s[r, j]))
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -258,46 +259,59 @@ def _reach_loose(centres, radius, theta: float, width: int):
     return run
 
 
-def _reach_core(centres, radius, pairs, closest, theta: float, core: float, width: int):
-    """Core vectors at the places where loose vectors or other cores may hold a similar one.
+def _cores(centres, touching, closest, core: float, width: int):
+    """Core vectors of units in reach of another, and those that a loose vector in reach leaves open.
 
-    ``pairs`` are the units in reach of each other, ``closest`` is per unit the
-    least angle to its centroid that a loose vector in reach leaves open.
+    ``closest`` is per unit the least angle to its centroid that a loose vector
+    in reach leaves open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for p, (a, b) in enumerate(pairs.value):
-            by.setdefault(a, []).append((p, b, 0))
-            by.setdefault(b, []).append((p, a, 1))
         for table in tables(batches):
             unit = unpack(table.column("vec"), width)
             who, sim = _top(unit, centres.value)
             inside = sim >= core + _EPS
-            place, node, side, row = [], [], [], []
-            ids = table.column("id").to_numpy()
-            open_ = np.flatnonzero(inside & (_angle(sim) >= closest.value[who] - 1e-5))
-            place += [f"u{u}" for u in who[open_].tolist()]
-            node += [UNITS + u for u in who[open_].tolist()]
-            side += [1] * len(open_)
-            row += open_.tolist()
-            for u in np.unique(who[inside]).tolist():
-                for p, other, s in by.get(u, ()):
-                    mine = np.flatnonzero(inside & (who == u))
-                    mine = mine[_angle(unit[mine] @ centres.value[other]) <= radius.value[other] + theta + 1e-5]
-                    place += [f"p{p}"] * len(mine)
-                    node += [UNITS + u] * len(mine)
-                    side += [s] * len(mine)
-                    row += mine.tolist()
-            if row:
+            open_ = inside & (_angle(sim) >= closest.value[who] - 1e-5)
+            row = np.flatnonzero(open_ | (inside & touching.value[who]))
+            if len(row):
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(place, pa.string()), pa.array(node, pa.int64()), pa.array(side, pa.int32()), table.column("vec").combine_chunks().take(pa.array(row)), pa.array(ids[row])],
-                    names=["place", "node", "side", "vec", "tie"],
+                    [table.column("id").combine_chunks().take(take), pa.array(who[row]), pa.array(open_[row]), table.column("vec").combine_chunks().take(take)],
+                    names=["tie", "unit", "open", "vec"],
                 )
 
     return run
 
 
+def _within(centres, radius, theta: float, width: int):
+    """Of core vectors next to a unit in reach of theirs, those that may be similar to a vector of its core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            other = batch.column("other").to_numpy()
+            far = _angle(np.einsum("ij,ij->i", unpack(batch.column("vec"), width), centres.value[other]))
+            yield batch.filter(pa.array(far <= radius.value[other] + theta + 1e-5))
+
+    return run
+
+
+def _in_reach(centres, radius, theta: float):
+    """Of the units in blocks of TILE: pairs ``a < b`` whose cores may hold similar vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, rad = centres.value.astype(np.float64), radius.value
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                a = block * TILE
+                for c in range(a, len(x), 4096):
+                    angle = _angle(x[a : a + TILE] @ x[c : c + 4096].T)
+                    i, j = np.nonzero(angle <= rad[a : a + TILE, None] + rad[None, c : c + 4096] + theta + 1e-5)
+                    keep = (i + a < j + c) & (rad[i + a] >= 0) & (rad[j + c] >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(i[keep] + a), pa.array(j[keep] + c)], names=["a", "b"])
+
+    return run
+
+
 def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges by row as the least edges by node that join the same."""
     names, code = np.unique(nodes, return_inverse=True)
@@ -399,12 +413,37 @@ def _seed(vectors: DataFrame, rows: int, scratch: Scratch, least: float, width:
     return np.concatenate(seeds), np.concatenate(weights)
 
 
-def _centres(seeds: np.ndarray, weights: np.ndarray, least: float, members: int) -> np.ndarray:
-    """Similar seeds as one centre each, their weighted mean; those that cover fewer than ``members`` vectors are none."""
-    label = np.arange(len(seeds))
-    for a in range(0, len(seeds), 1024):
-        i, j = np.nonzero(seeds[a : a + 1024] @ seeds[a:].T >= least)
-        label = components(len(seeds), i + a, j + a, label)
+def _alike(seeds, least: float):
+    """Of the seeds' rows that one task has, in blocks of TILE: which are similar to a seed at or after the block, as a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = seeds.value
+        label = np.arange(len(x))
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                a = block * TILE
+                for c in range(a, len(x), 4096):
+                    i, j = np.nonzero(x[a : a + TILE] @ x[c : c + 4096].T >= least)
+                    label = components(len(x), i + a, j + c, label)
+        own = np.flatnonzero(label != np.arange(len(x)))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(label[own])], names=["a", "b"])
+
+    return run
+
+
+def _centres(spark: SparkSession, seeds: np.ndarray, weights: np.ndarray, least: float, members: int) -> np.ndarray:
+    """Similar seeds as one centre each, their weighted mean; those that cover fewer than ``members`` vectors are none.
+
+    Tasks compare the seeds, blocks dealt in turn; at most MERGERS forests of them come back.
+    """
+    if not len(seeds):
+        return seeds
+    blocks = -(-len(seeds) // TILE)
+    parts = min(MERGERS, blocks)
+    sent = spark.sparkContext.broadcast(seeds)  # at most ROUNDS times MOST_SEEDS vectors
+    dealt = spark.range(0, blocks, 1, blocks).repartition(parts, F.col("id") % parts)
+    found = dealt.mapInArrow(_alike(sent, least), "a bigint, b bigint").toArrow()
+    label = components(len(seeds), found.column("a").to_numpy(), found.column("b").to_numpy())
     names, code = np.unique(label, return_inverse=True)
     weight = np.bincount(code, weights=weights, minlength=len(names))
     mean = np.zeros((len(names), seeds.shape[1]))
@@ -440,7 +479,7 @@ def cluster_vectors(
     vectors = scratch.write("vectors", memories.filter("id is not null").select("id", "embedding").mapInArrow(_packed(width), "id bigint, vec binary"))
     rows = vectors.count()
     seeds, weights = _seed(vectors, rows, scratch, least, width, rounds)
-    centres = _centres(seeds, weights, least, members)
+    centres = _centres(spark, seeds, weights, least, members)
     for _ in range(steps if len(centres) else 0):
         sent = sc.broadcast(centres)
         summed = vectors.mapInArrow(_sums(sent, width), "cell bigint, n bigint, total binary").repartition("cell").mapInArrow(_add, "cell bigint, n bigint, total binary")
@@ -507,22 +546,27 @@ def _core_edges(vectors: DataFrame, loose: DataFrame, centres, radius: np.ndarra
     k = len(centres.value)
     if not k:
         return none
-    pairs = []
-    for a in range(0, k, 1024):
-        angle = _angle(centres.value[a : a + 1024].astype(np.float64) @ centres.value.T.astype(np.float64))
-        i, j = np.nonzero(angle <= radius[a : a + 1024, None] + radius[None, :] + theta + 1e-5)
-        keep = (i + a < j) & (radius[i + a] >= 0) & (radius[j] >= 0)
-        pairs += zip((i[keep] + a).tolist(), j[keep].tolist())
     rad = sc.broadcast(np.where(radius < 0, -np.pi, radius))
+    blocks = -(-k // TILE)
+    pairs = scratch.write("pairs", spark.range(0, blocks, 1, blocks).mapInArrow(_in_reach(centres, rad, theta), "a bigint, b bigint"))
+    touching = np.zeros(k, dtype=bool)
+    for row in pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct().collect():  # one row per centre
+        touching[row["unit"]] = True
     near = scratch.write("near", loose.mapInArrow(_reach_loose(centres, rad, theta, width), "node bigint, vec binary, unit bigint, far double"))
     closest = np.full(k, np.inf)
     for row in near.groupBy("unit").agg(F.min("far").alias("far")).collect():  # one row per centre
         closest[row["unit"]] = row["far"] - theta
-    if not pairs and not np.isfinite(closest).any():
+    if not touching.any() and not np.isfinite(closest).any():
         return none
-    sides = vectors.mapInArrow(
-        _reach_core(centres, rad, sc.broadcast(pairs), sc.broadcast(closest), theta, core, width), "place string, node bigint, side int, vec binary, tie bigint"
-    )
+    kept = "tie bigint, unit bigint, open boolean, vec binary"
+    cores = scratch.write("cores", vectors.mapInArrow(_cores(centres, sc.broadcast(touching), sc.broadcast(closest), core, width), kept))
+    columns = lambda place, side: (place.alias("place"), (F.col("unit") + UNITS).alias("node"), side.alias("side"), "vec", "tie")
+    sides = cores.filter("open").select(*columns(F.concat(F.lit("u"), "unit"), F.lit(1)))
+    ends = pairs.select(F.col("a").alias("unit"), F.col("b").alias("other"), F.lit(0).alias("side"), F.concat_ws("-", F.lit("p"), "a", "b").alias("place"))
+    ends = ends.union(pairs.select("b", "a", F.lit(1), F.concat_ws("-", F.lit("p"), "a", "b")))
+    beside = cores.join(ends, "unit").select("tie", "unit", "vec", "other", "side", "place")  # Spark broadcasts the pairs if they are few
+    beside = beside.mapInArrow(_within(centres, rad, theta, width), "tie bigint, unit bigint, vec binary, other bigint, side int, place string")
+    sides = sides.union(beside.select(*columns(F.col("place"), F.col("side"))))
     loose_side = near.select(F.concat(F.lit("u"), "unit").alias("place"), "node", F.lit(0).alias("side"), "vec", F.col("node").alias("tie"))
     met = scratch.write("met", sides.unionByName(loose_side))
     # of a place with many rows each side is cut, and every two cuts meet
