@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ann, distributed
+from tidemark.operators import ann, distributed, proofs
 from tidemark.operators.ordering import dense_positions
 from tidemark.sketches import summaries
 from tidemark.store import secrets
@@ -144,63 +144,120 @@ def test_merkle_diff_and_proofs(spark):
     assert distributed.merkle_diff(a, a.repartition(5), "k", ["v"]).count() == 0
     root = lambda x: distributed.merkle_buckets(x, "k", ["v"]).filter("level = 0").first()["digest"]
     assert root(a) == root(a.repartition(3)) != root(b)
-    for n in (1, 2, 5, 8):
-        tree = distributed.merkle_tree(a.limit(600).filter(f"k < {n}"), ["k"], ["k", "v"])
-        top = tree.orderBy(F.desc("level")).first()["hash"]
-        for p in range(n):
-            leaf = tree.filter(f"level = 0 and position = {p}").first()["hash"]
-            proof = distributed.merkle_proof(tree, p)
-            assert distributed.verify_proof(leaf, p, proof, top) and not distributed.verify_proof("x" + leaf[1:], p, proof, top)
+    for n in (1, 2, 5, 8, 600):
+        tree = proofs.merkle_tree(a.filter(f"k < {n}"), ["k"], proofs.content("k", "v"))
+        root, leaves = proofs.tree_root(tree)
+        assert leaves == n and tree.count() == sum(proofs.level_sizes(n))
+        leaf = {r["position"]: r["hash"] for r in tree.filter("level = 0").collect()}
+        asked = range(n) if n < 10 else [0, 1, 298, 599]
+        for p, proof in proofs.merkle_proofs(tree, list(asked)).items():
+            assert proofs.verify_proof(leaf[p], p, proof, root, n) and not proofs.verify_proof("x" + leaf[p][1:], p, proof, root, n)
+            assert not proofs.verify_proof(leaf[p], p, proof, root, n + 1) and not proofs.verify_proof(leaf[p], n, proof, root, n)
             if n > 1:
-                assert not distributed.verify_proof(leaf, p ^ 1, proof, top) or proof[0] == leaf
+                assert not proofs.verify_proof(leaf[p], p ^ 1, proof, root, n)
+    assert proofs.tree_root(proofs.merkle_tree(a.limit(0), ["k"], proofs.content("k", "v"))) == (None, 0)
+    assert [distributed.digits_for(n) for n in (0, 64, 65, 1024, 1025, 10**9)] == [0, 0, 1, 1, 2, 6]
+
+
+@pytest.mark.parametrize("levels", [2, 14])
+def test_a_tree_folded_in_rounds_is_the_same(spark, monkeypatch, levels):
+    """The root doesn't depend on how many levels a task folds."""
+    monkeypatch.setattr(proofs, "LEVELS", levels)
+    nodes = [proofs.hashlib.sha256(str(i).encode()).hexdigest() for i in range(37)]
+    batch = proofs.pa.RecordBatch.from_arrays([proofs.pa.array(range(37)), proofs.pa.array(nodes)], names=["position", "hash"])
+    got, first = nodes, 0
+    sizes = proofs.level_sizes(37)
+    while first < len(sizes) - 1:
+        out = [x for b in proofs._fold(first, sizes, {})(iter([batch])) for x in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        first = min(first + levels, len(sizes) - 1)
+        got = [h for k, _, h in sorted(out) if k == first]
+        batch = proofs.pa.RecordBatch.from_arrays([proofs.pa.array(range(len(got))), proofs.pa.array(got)], names=["position", "hash"])
+    want = nodes
+    while len(want) > 1:
+        want = want + want[-1:] if len(want) & 1 else want
+        want = [proofs._pair(x, y) for x, y in zip(want[::2], want[1::2])]
+    assert got == want
 
 
 def test_authenticated_range(spark):
-    df = spark.range(40).selectExpr("id k", "id % 10 v")
-    got = distributed.authenticated_range(df, "v", 3, 4, ["k"])
-    assert got["rows"].count() == 8 and got["consecutive"] and got["outside"]
-    assert distributed.authenticated_range(df, "v", 50, 60, ["k"])["rows"].count() == 0
+    df = spark.range(41).selectExpr("id k", "nullif(id % 10, 9) v", "if(id % 3 = 0, null, 'x|y') body")
+    table = proofs.range_tree(df, "v", ["k", "body"])
+    for low, high, n in ((3, 4, 8), (0, 8, 37), (-5, -1, 0), (50, 60, 0), (8, 8, 4), (0, 0, 5)):
+        answer = proofs.authenticated_range(table, low, high)
+        assert proofs.in_range(answer, low, high).count() == n and proofs.verify_range(answer, table["root"], low, high)
+        assert not proofs.verify_range(answer, "0" * 64, low, high)
+        assert not proofs.verify_range({**answer, "n": 36}, table["root"], low, high)
+    answer = proofs.authenticated_range(table, 3, 4)
+    forged = {**answer, "rows": answer["rows"].withColumn("v", F.when(F.col("v") == 3, 4).otherwise(F.col("v")))}
+    shorter = {**answer, "rows": answer["rows"].filter("v > 3")}
+    nulled = {**answer, "rows": answer["rows"].withColumn("body", F.coalesce("body", F.lit("")))}
+    assert not any(proofs.verify_range(x, table["root"], 3, 4) for x in (forged, shorter, nulled, {**answer, "rows": answer["rows"].limit(0)}))
+    empty = proofs.range_tree(df.limit(0), "v", ["k"])
+    assert proofs.verify_range(proofs.authenticated_range(empty, 1, 2), empty["root"], 1, 2)
 
 
 def test_authenticated_knn(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(60)] + [(99, None)], "id long, e array<float>")
     q = [0.5] * 8
-    got = distributed.authenticated_knn(df, "id", "e", q, 5)
-    assert len(got["rows"]) == 5 and distributed.verify_knn(got, got["root"], q)
-    assert not distributed.verify_knn(got, "0" * 64, q)
+    got = proofs.authenticated_knn(df, "id", "e", q, 5)
+    assert len(got["rows"]) == 5 and proofs.verify_knn(got, got["root"], q)
+    assert not proofs.verify_knn(got, "0" * 64, q)
     forged = {**got, "rows": [{**got["rows"][0], "vector": [0.5] * 8}, *got["rows"][1:]]}
-    assert not distributed.verify_knn(forged, got["root"], q)
+    assert not proofs.verify_knn(forged, got["root"], q)
     swapped = {**got, "rows": got["rows"][::-1]}
-    assert not distributed.verify_knn(swapped, got["root"], q)
-
-
-def test_ledger_audit(spark):
-    df = spark.range(200).selectExpr("id % 5 chain", "id seq", "CAST(id * 3 AS STRING) body")
-    sealed = distributed.ledger_chain(df, "chain", "seq", ["body"])
-    assert distributed.ledger_audit(sealed, "chain", "seq", ["body"]).agg(F.sum("broken")).first()[0] == 0
+    assert not proofs.verify_knn(swapped, got["root"], q)
+
+
+@pytest.mark.parametrize("segment", [7, 4096])
+def test_ledger(spark, monkeypatch, segment):
+    """One chain holds most entries; a chain cut into segments still commits every entry to all before it."""
+    monkeypatch.setattr(proofs, "SEGMENT", segment)
+    df = spark.range(200).selectExpr("if(id % 8 < 6, 0, id % 8) chain", "id seq", "nullif(CAST(id * 3 AS STRING), '30') body")
+    seal = lambda x: proofs.ledger_chain(x, "chain", "seq", ["body"])
+    audit = lambda x, h=None: {r["chain"]: (r["broken"], r["head_ok"]) for r in proofs.ledger_audit(x, "chain", "seq", ["body"], h).collect()}
+    sealed = seal(df).cache()
+    heads = proofs.ledger_heads(sealed, "chain", "seq").cache()
+    assert audit(sealed, heads) == {0: (0, True), 6: (0, True), 7: (0, True)}
+    rows = sorted((r["seq"], r["hash"]) for r in sealed.filter("chain = 0").collect())
+    assert len({h for _, h in rows}) == len(rows) == 150
+    grown = {r["seq"]: r["hash"] for r in seal(df.union(spark.createDataFrame([(0, 900, "new"), (6, 901, "new")], "chain long, seq long, body string"))).filter("chain = 0").collect()}
+    assert all(grown[q] == h for q, h in rows)  # appending changes no entry
     bad = sealed.withColumn("body", F.when(F.col("seq") == 50, "x").otherwise(F.col("body")))
-    assert {r["chain"]: r["broken"] for r in distributed.ledger_audit(bad, "chain", "seq", ["body"]).collect()} == {0: 2, 1: 0, 2: 0, 3: 0, 4: 0}
-    gone = sealed.filter("seq <> 51")
-    assert distributed.ledger_audit(gone, "chain", "seq", ["body"]).filter("broken > 0").count() == 1
+    after = sum(q >= 50 for q, _ in rows)
+    assert audit(bad)[0] == (after, None) and audit(bad)[6] == (0, None)
+    assert audit(seal(bad), heads) == {0: (0, False), 6: (0, True), 7: (0, True)}  # forged and sealed anew
+    assert audit(sealed.filter("seq <> 51"), heads)[0] == (after - 2, False)
+    assert audit(sealed.filter("seq < 190"), heads)[0] == (0, False)  # cut off at the end
+    assert audit(sealed.filter("chain <> 7"), heads)[7] == (0, False)  # a whole chain gone
+    assert audit(sealed.filter("seq is null"), heads.limit(0)) == {}
 
 
 def test_private_reads_and_shares(spark):
     df = spark.range(300).selectExpr("id pos", "id * id + 7 v")
     for want in (0, 17, 299):
         assert distributed.pir_read(df, df, "pos", "v", want, "s").first()[0] == want * want + 7
-    shared = distributed.share_values(df.withColumn("k", F.col("pos") % 3), "pos", "v", 3, "s")
+    signed = df.withColumn("k", F.col("pos") % 3).withColumn("v", F.when(F.col("k") == 1, -F.col("v")).when(F.col("pos") == 3, None).otherwise(F.col("v")))
+    shared = distributed.share_values(signed, "pos", "v", 3)
     got = {r["k"]: (r["total"], r["n"]) for r in distributed.shared_sum(shared, ["k"], 3).collect()}
-    assert got == {k: (sum(i * i + 7 for i in range(k, 300, 3)), 100) for k in range(3)}
-    assert distributed.detection_chance(0.5, 3) == 0.875
+    want = {k: (sum((i * i + 7) * (-1 if k == 1 else 1) for i in range(k, 300, 3) if i != 3), 100 - (k == 0)) for k in range(3)}
+    assert got == want
+    one = distributed.share_values(signed, "pos", "v", 2).agg(F.countDistinct("share_0"), F.min("share_0"), F.max("share_1")).first()
+    assert one[0] == 299 and one[1] >= 0 and one[2] < distributed.MODULUS
+    assert distributed.share_values(signed, "pos", "v", 2).first()["share_0"] != distributed.share_values(signed, "pos", "v", 2).first()["share_0"]
+    assert proofs.detection_chance(0.5, 3) == 0.875
 
 
 def test_retrievability_and_forgetting(spark):
     df = spark.range(400).selectExpr("id k", "CAST(id AS STRING) body")
-    digests = df.select("k", distributed.sha("k", "body").alias("digest"))
-    whole = distributed.retrievability(df, digests, "k", ["body"], 4).first()
-    lost = distributed.retrievability(df.filter("k % 2 = 0"), digests, "k", ["body"], 4).first()
-    assert whole["asked"] == whole["held"] > 50 and lost["held"] < lost["asked"]
+    kept = proofs.stored_tree(df, "k", ["body"])
+    ask = lambda stored, one_in=4: tuple(proofs.retrievability(stored, kept, "k", one_in).first())
+    asked, held = ask(df)
+    assert asked == held > 50 and ask(df, 1) == (400, 400)
+    assert ask(df.filter("k % 2 = 0"), 1) == (400, 200)
+    assert ask(df.withColumn("body", F.when(F.col("k") == 7, "forged").otherwise(F.col("body"))), 1) == (400, 399)
+    forged = {**kept, "tree": kept["tree"].withColumn("hash", F.when(F.col("level") == 3, "0").otherwise(F.col("hash")))}
+    assert tuple(proofs.retrievability(df, forged, "k", 1).first()) == (400, 0)  # proofs that don't lead to the root
     keys = spark.range(4).selectExpr("id who", "unhex(substring(sha2(CAST(id AS STRING), 256), 1, 32)) secret")
     text = df.selectExpr("k", "k % 4 who", "body")
     sealed = distributed.seal(text, "who", "body", keys)
@@ -252,12 +309,12 @@ def test_exact_and_blocked_agree(spark, vectors, metric):
 
 def test_indexes_recall(spark, vectors):
     df, x = vectors
-    ivf, lsh = ann.IvfIndex.build(df, "e"), ann.LshIndex(df, "e")
+    ivf, lsh = ann.IvfIndex.build(df, "e", "id"), ann.LshIndex(df, "e")
     sq, pq = ann.ScalarQuantizer.fit(df, "e"), ann.ProductQuantizer.fit(df, "e", 8)
     si, pi = sq.index(df, "e"), pq.index(df, "e")
     asked = range(0, 1500, 150)
     searches = {
-        "ivf": (lambda q: ivf.search(q, 10, tie="id"), "<->"), "lsh": (lambda q: lsh.search(q, 10, 20, tie="id"), "<=>"),
+        "ivf": (lambda q: ivf.search(q, 10), "<->"), "lsh": (lambda q: lsh.search(q, 10, 20, tie="id"), "<=>"),
         "sq8": (lambda q: ann.search_codes(si, sq, "e", q, 10, 5, "id"), "<->"), "pq": (lambda q: ann.search_codes(pi, pq, "e", q, 10, 10, "id"), "<->"),
     }
     for name, (search, metric) in searches.items():
@@ -267,7 +324,7 @@ def test_indexes_recall(spark, vectors):
             assert got[0] == i and len(got) == len(set(got)) == 10  # a vector finds itself, and no row twice
             hit += len(set(got) & set(brute(x, x[i], 10, metric)))
         assert hit >= 0.9 * 10 * len(asked), name
-    more = [len(set(r["id"] for r in ivf.search(x[7].tolist(), 10, probes=p, tie="id").collect()) & set(brute(x, x[7], 10, "<->"))) for p in (1, 10, 38)]
+    more = [len(set(r["id"] for r in ivf.search(x[7].tolist(), 10, probes=p).collect()) & set(brute(x, x[7], 10, "<->"))) for p in (1, 10, 38)]
     assert more == sorted(more) and more[-1] == 10
 
 
@@ -298,4 +355,33 @@ def test_rotation_keeps_distances(spark, vectors):
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None)], "id long, e array<float>")
     assert ann.knn(df, "e", [1.0], 3).count() == 0 and ann.knn_batch(df, df, "id", "e", 3).count() == 0
-    assert ann.IvfIndex.build(df, "e").search([1.0], 3).count() == 0
+    assert ann.IvfIndex.build(df, "e", "id").search([1.0], 3).count() == 0
+
+
+def test_an_index_is_kept_and_follows_changes(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    centres = rng.standard_normal((40, 16)) * 4
+    x = (centres[rng.integers(0, 40, 2000)] + rng.standard_normal((2000, 16)) * 0.2).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None)], "id long, e array<float>").repartition(3).cache()
+    built = ann.IvfIndex.build(df.filter("id < 1500 or id > 4000"), "e", "id", path=f"file://{tmp_path}/index")
+    built.insert(df.filter("id >= 1500 and id < 4000"))
+    built.remove(spark.range(0, 2000, 10))
+    moved = spark.createDataFrame([(10, x[3].tolist()), (11, x[4].tolist())], "id long, e array<float>")
+    built.insert(moved)  # 10 comes back, 11 moves
+    index = ann.IvfIndex(spark, built.path)
+    x[10], x[11] = x[3], x[4]
+    gone = set(range(0, 2000, 10)) - {10}
+    assert index.rows().count() == 2000 - len(gone) and index.probes < len(index.centroids) / 4
+    asked = df.filter("id % 50 = 7 or id = 5000")
+    found: dict = {}
+    for r in index.search_batch(asked, 10).collect():
+        found.setdefault(r["query"], []).append((r["rank"], r["neighbour"], r["read"]))
+    hits = 0
+    for q, got in found.items():
+        d = np.linalg.norm(x.astype(float) - x[q].astype(float), axis=1)
+        d[list(gone)] = np.inf
+        got.sort()
+        assert [g[0] for g in got] == list(range(1, 11)) and got[0][2] < 600
+        hits += len({g[1] for g in got} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(found) == 40 and hits >= 0.9 * 400
+    assert index.search_batch(asked.limit(0), 3).count() == 0

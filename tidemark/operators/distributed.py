@@ -1,16 +1,15 @@
-"""Structures of distributed stores as Spark plans: routing, clocks, replicas, audits and private reads."""
+"""Structures of distributed stores as Spark plans: routing, clocks, replicas and private reads."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from secrets import token_hex
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import dense_positions
-from tidemark.session import Scratch
 from tidemark.sketches.summaries import hash_bits
 
 
@@ -39,28 +38,26 @@ def ring(nodes: list[str], points: int) -> tuple[list[str], list[str]]:
 
 
 def ring_route(frame: DataFrame, key: str, nodes: list[str], points: int = 64, copies: int = 1) -> DataFrame:
-    """``frame`` with ``nodes``, the first ``copies`` distinct nodes at or after the key's position on the ring."""
+    """``frame`` with ``nodes``, the first ``copies`` distinct nodes at or after the key's position on the ring.
+
+    What follows each position of the ring is laid out once; a key is one search among them.
+    """
     positions, owners = ring(nodes, points)
     want = min(copies, len(nodes))
+    after = []
+    for i in range(len(owners)):
+        after.append(list(dict.fromkeys(owners[i:] + owners[:i]))[:want])
+    order = pa.array([*after, after[0]] if after else [[]], pa.list_(pa.string()))  # beyond the last comes the first
+    at = np.array(positions)
 
     @F.pandas_udf("array<string>")
     def place(h):
         import pandas as pd
 
-        start = np.searchsorted(np.array(positions), h.to_numpy(dtype=str)) if len(h) else []
-        out = []
-        for s in start:
-            got: list[str] = []
-            i = int(s)
-            while len(got) < want:
-                n = owners[i % len(owners)]
-                if n not in got:
-                    got.append(n)
-                i += 1
-            out.append(got)
-        return pd.Series(out, dtype=object)
+        start = np.searchsorted(at, h.to_numpy(dtype=str)) if len(at) else np.zeros(len(h), dtype=int)
+        return pd.Series(order.take(pa.array(start)).to_pandas())
 
-    return frame.withColumn("nodes", place(F.sha2(F.col(key).cast("string"), 256)))
+    return frame.withColumn("nodes", place(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256)))
 
 
 # rates
@@ -117,27 +114,47 @@ def lww_merge(frame: DataFrame, key: str, at: str, origin: str, value: str, gone
     return last.filter("not w.gone").select(key, F.col("w.value").alias(value), F.col("w.at").alias(at), F.col("w.origin").alias(origin))
 
 
+def _asked(replicas: DataFrame, key: str, read: int) -> DataFrame:
+    """The rows of the ``read`` replicas that are asked for each key: the first by hash of key and replica."""
+    turn = hash_bits(F.concat_ws("/", F.col(key).cast("string"), F.col("replica").cast("string")), "quorum")
+    w = Window.partitionBy(key).orderBy(turn, "replica")  # a key has as many rows as replicas
+    return replicas.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= read).drop("_nth")
+
+
 def quorum_read(replicas: DataFrame, key: str, version: str, read: int) -> DataFrame:
     """Per key the newest row among the ``read`` replicas asked, and ``stale``, how many of them hold an older one.
 
-    ``replicas`` has a column ``replica`` numbered from 0; which are asked
-    rotates with the key.
+    ``replicas`` has a column ``replica``; which are asked changes with the key.
     """
-    asked = replicas.withColumn("turn", F.pmod(hash_bits(key, "quorum") + F.col("replica"), F.lit(1 << 20)))
-    n = Window.partitionBy(key).orderBy("turn", "replica")
-    asked = asked.withColumn("nth", F.row_number().over(n)).filter(F.col("nth") <= read).drop("nth", "turn")
+    asked = _asked(replicas, key, read)
     rest = [c for c in replicas.columns if c not in (key, "replica")]
     best = asked.groupBy(key).agg(F.max(F.struct(version, *(c for c in rest if c != version))).alias("w"), F.collect_list(version).alias("seen"))
     stale = F.size(F.filter("seen", lambda v: v < F.col(f"w.{version}")))
     return best.select(key, *(F.col(f"w.{c}").alias(c) for c in rest), stale.alias("stale"))
 
 
-# Merkle trees
-DIGITS = 3
+def quorum_repair(replicas: DataFrame, key: str, version: str, read: int) -> DataFrame:
+    """What a quorum read writes back: per asked replica that holds an older row, ``replica`` and the newest row asked for."""
+    best = quorum_read(replicas, key, version, read).drop("stale")
+    old = _asked(replicas, key, read).select(key, "replica", F.col(version).alias("_held"))
+    return old.join(best, key).filter(F.col("_held") < F.col(version)).drop("_held")
+
+
+# replicas compared
+#: Rows in a leaf of a comparison tree, about.
+LEAF_ROWS = 64
 
 
-def merkle_buckets(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``level, prefix, digest`` of a tree over key hashes: 16**DIGITS leaves, each parent over its 16 children.
+def digits_for(rows: int) -> int:
+    """Figures of base 16 that number the leaves of a tree over ``rows`` rows."""
+    n = 0
+    while 16**n * LEAF_ROWS < rows:
+        n += 1
+    return n
+
+
+def merkle_buckets(frame: DataFrame, key: str, columns: list[str], digits: int = 3) -> DataFrame:
+    """``level, prefix, digest`` of a tree over key hashes: 16**digits leaves, each parent over its 16 children.
 
     A leaf's digest is a count and an exclusive or over its rows' hashes, which
     combine before the shuffle and don't depend on the order of rows.
@@ -145,10 +162,10 @@ def merkle_buckets(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
     h = sha(key)
     row = sha(key, *columns)
     parts = [F.bit_xor(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("bigint")).alias(f"x{i}") for i in range(4)]
-    leaf = frame.groupBy(F.substring(h, 1, DIGITS).alias("prefix")).agg(F.count("*").alias("n"), *parts)
-    level = leaf.select(F.lit(DIGITS).alias("level"), "prefix", sha("n", "x0", "x1", "x2", "x3").alias("digest"))
+    leaf = frame.groupBy(F.substring(h, 1, digits).alias("prefix")).agg(F.count("*").alias("n"), *parts)
+    level = leaf.select(F.lit(digits).alias("level"), "prefix", sha("n", "x0", "x1", "x2", "x3").alias("digest"))
     out = level
-    for d in range(DIGITS - 1, -1, -1):
+    for d in range(digits - 1, -1, -1):
         kids = F.transform(F.sort_array(F.collect_list(F.struct("prefix", "digest"))), lambda x: F.concat(x["prefix"], x["digest"]))
         level = level.groupBy(F.substring("prefix", 1, d).alias("prefix")).agg(F.sha2(F.concat_ws("|", kids), 256).alias("digest"))
         level = level.select(F.lit(d).alias("level"), "prefix", "digest")
@@ -159,160 +176,18 @@ def merkle_buckets(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def merkle_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key, change``: what must go from ``a`` to ``b`` to make them equal (``added``, ``removed``, ``changed``).
 
-    Only the rows of leaves whose digests differ are compared.
+    The tree has as many leaves as keep one at about LEAF_ROWS rows, and only
+    the rows of leaves whose digests differ are compared.
     """
-    ta, tb = (merkle_buckets(x, key, columns).filter(F.col("level") == DIGITS).select("prefix", "digest") for x in (a, b))
+    digits = digits_for(max(a.count(), b.count()))
+    ta, tb = (merkle_buckets(x, key, columns, digits).filter(F.col("level") == digits).select("prefix", "digest") for x in (a, b))
     differ = ta.join(tb.withColumnRenamed("digest", "other"), "prefix", "full").filter("not digest <=> other").select("prefix")
-    pick = lambda x, n: x.select(F.col(key), sha(key, *columns).alias(n), F.substring(sha(key), 1, DIGITS).alias("prefix")).join(F.broadcast(differ), "prefix", "left_semi").drop("prefix")
+    pick = lambda x, n: x.select(F.col(key), sha(key, *columns).alias(n), F.substring(sha(key), 1, digits).alias("prefix")).join(differ, "prefix", "left_semi").drop("prefix")
     both = pick(a, "ha").join(pick(b, "hb"), key, "full").filter("not ha <=> hb")
     change = F.when(F.col("ha").isNull(), "added").when(F.col("hb").isNull(), "removed").otherwise("changed")
     return both.select(key, change.alias("change"))
 
 
-def merkle_tree(frame: DataFrame, order: list[str], columns: list[str], scratch: Scratch | None = None) -> DataFrame:
-    """``level, position, hash`` of a binary Merkle tree over the rows in ``order``; an odd last node is paired with itself.
-
-    One aggregation per level over half as many nodes each time.
-    """
-    scratch = scratch or Scratch(frame.sparkSession, "merkle")
-    leaves = dense_positions(frame.select(*order, sha(*columns).alias("hash")), order, "position", scratch)
-    level = scratch.write("level0", leaves.select(F.lit(0).alias("level"), "position", "hash"))
-    out, n, k = [level], level.count(), 0
-    while n > 1:
-        k += 1
-        pair = level.groupBy(F.floor(F.col("position") / 2).alias("position")).agg(F.min(F.struct("position", "hash")).alias("l"), F.max(F.struct("position", "hash")).alias("r"))
-        level = scratch.write(f"level{k}", pair.select(F.lit(k).alias("level"), "position", F.sha2(F.concat("l.hash", F.lit("|"), "r.hash"), 256).alias("hash")))
-        n = -(-n // 2)
-        out.append(level)
-    tree = out[0]
-    for x in out[1:]:
-        tree = tree.union(x)
-    return tree
-
-
-def merkle_proofs(tree: DataFrame, positions: list[int]) -> dict[int, list[str]]:
-    """Per leaf the siblings from it to the root, read in one go: as many rows as the tree has levels, twice, for each."""
-    top = tree.agg(F.max("level")).first()[0] or 0
-    want = {(k, at) for p in positions for k in range(top) for at in (p >> k, (p >> k) ^ 1)}
-    if not want:
-        return {p: [] for p in positions}
-    ask = tree.sparkSession.createDataFrame(sorted(want), "level int, position bigint")
-    got = {(r["level"], r["position"]): r["hash"] for r in tree.join(F.broadcast(ask), ["level", "position"]).collect()}
-    return {p: [got.get((k, (p >> k) ^ 1), got[(k, p >> k)]) for k in range(top)] for p in positions}
-
-
-def merkle_proof(tree: DataFrame, position: int) -> list[str]:
-    return merkle_proofs(tree, [position])[position]
-
-
-def verify_proof(leaf: str, position: int, proof: list[str], root: str) -> bool:
-    import hashlib
-
-    h = leaf
-    for k, sibling in enumerate(proof):
-        pair = (h, sibling) if not (position >> k) & 1 else (sibling, h)
-        h = hashlib.sha256("|".join(pair).encode()).hexdigest()
-    return h == root
-
-
-def authenticated_range(frame: DataFrame, number: str, low: int, high: int, columns: list[str], scratch: Scratch | None = None) -> dict:
-    """Rows with ``low <= number <= high`` and what proves them: each row's leaf, the root, and the leaves at both ends.
-
-    The result is sound, as every row has a proof to the root, and complete, as
-    the positions are consecutive and the neighbours beyond lie outside.
-    """
-    scratch = scratch or Scratch(frame.sparkSession, "auth")
-    rows = dense_positions(frame.filter(F.col(number).isNotNull()), [number, *columns], "position", scratch)
-    rows = scratch.write("rows", rows)
-    tree = merkle_tree(rows, ["position"], columns, Scratch(frame.sparkSession, "auth-tree"))
-    hit = rows.filter((F.col(number) >= low) & (F.col(number) <= high))
-    ends = hit.agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("*").alias("n")).first()
-    edge = rows.filter(F.col("position").isin([(ends["a"] or 0) - 1, (ends["b"] or 0) + 1])).select("position", number).collect() if ends["n"] else []
-    top = tree.agg(F.max("level")).first()[0] or 0
-    root = tree.filter(F.col("level") == top).first()
-    return {
-        "rows": hit, "tree": tree, "root": root["hash"] if root else None, "consecutive": not ends["n"] or ends["b"] - ends["a"] + 1 == ends["n"],
-        "outside": all(not low <= e[number] <= high for e in edge),
-    }
-
-
-def vector_leaf(key, vector: list[float]) -> str:
-    """The Merkle leaf of a keyed vector, as :func:`authenticated_knn` makes it: the key and the bits of the components."""
-    import hashlib
-
-    bits = np.asarray(vector, dtype=">f4").tobytes().hex().upper()
-    return hashlib.sha256(f"{key}|{bits}".encode()).hexdigest()
-
-
-def authenticated_knn(frame: DataFrame, key: str, column: str, query: list[float], k: int, metric: str = "<->", scratch: Scratch | None = None) -> dict:
-    """The ``k`` nearest rows, each with its position and proof, and the ``root`` they are proved against.
-
-    The proofs are of what is shown; that nothing nearer was left out is the
-    server's word, as a proof of that would be as long as the table.
-    """
-    from tidemark.operators import ann
-
-    scratch = scratch or Scratch(frame.sparkSession, "auth-knn")
-
-    @F.pandas_udf("string")
-    def bits(v):
-        import pandas as pd
-
-        return pd.Series([np.asarray(x, dtype=">f4").tobytes().hex().upper() for x in v])
-
-    rows = dense_positions(frame.select(key, column).filter(F.col(column).isNotNull()), [key], "position", scratch)
-    rows = scratch.write("rows", rows.withColumn("bits", bits(column)))
-    tree = merkle_tree(rows, ["position"], [key, "bits"], Scratch(frame.sparkSession, "auth-knn-tree"))
-    found = ann.knn(rows.select(key, column, "position"), column, query, k, metric, key).collect()
-    top = tree.agg(F.max("level")).first()[0]
-    root = tree.filter(F.col("level") == top).first()["hash"] if top is not None else None
-    proofs = merkle_proofs(tree, [r["position"] for r in found])
-    return {"root": root, "rows": [{"key": r[key], "vector": list(r[column]), "distance": r["distance"], "position": r["position"], "proof": proofs[r["position"]]} for r in found]}
-
-
-def verify_knn(answer: dict, root: str | None, query: list[float], metric: str = "<->") -> bool:
-    """Whether every row is proved by ``root`` and the distances are right and in order."""
-    from tidemark.operators import ann
-
-    rows = answer["rows"]
-    if not all(verify_proof(vector_leaf(r["key"], r["vector"]), r["position"], r["proof"], root) for r in rows):
-        return False
-    if not rows:
-        return True
-    real = ann.block_distances(np.asarray([query], dtype=np.float32).astype(float), np.asarray([r["vector"] for r in rows], dtype=np.float32).astype(float), metric)[0]
-    return bool(np.allclose(real, [r["distance"] for r in rows], atol=1e-6) and (np.diff(real) >= -1e-9).all())
-
-
-# audits
-def ledger_chain(frame: DataFrame, chain: str, seq: str, columns: list[str]) -> DataFrame:
-    """``frame`` with ``prev_hash`` and ``hash``: each entry's hash covers its contents and its predecessor's contents."""
-    w = Window.partitionBy(chain).orderBy(seq)
-    own = sha(chain, seq, *columns)
-    before = F.coalesce(F.lag("_own").over(w), F.lit("genesis"))
-    return frame.withColumn("_own", own).withColumn("prev_hash", before).withColumn("hash", sha("prev_hash", "_own")).drop("_own")
-
-
-def ledger_audit(frame: DataFrame, chain: str, seq: str, columns: list[str]) -> DataFrame:
-    """``chain, entries, broken``: entries whose stored hashes don't follow from what is stored."""
-    w = Window.partitionBy(chain).orderBy(seq)
-    own = sha(chain, seq, *columns)
-    checked = frame.withColumn("_own", own).withColumn("_before", F.coalesce(F.lag("_own").over(w), F.lit("genesis")))
-    ok = (F.col("prev_hash") == F.col("_before")) & (F.col("hash") == sha("_before", "_own"))
-    return checked.groupBy(chain).agg(F.count("*").alias("entries"), F.sum((~F.coalesce(ok, F.lit(False))).cast("bigint")).alias("broken"))
-
-
-def retrievability(stored: DataFrame, digests: DataFrame, key: str, columns: list[str], one_in: int) -> DataFrame:
-    """``asked, held``: a challenge to about one in ``one_in`` keys, answered by hashing the stored rows anew."""
-    asked = digests.filter(F.pmod(hash_bits(key, "challenge"), F.lit(one_in)) == 0)
-    now = stored.select(key, sha(key, *columns).alias("now"))
-    return asked.join(now, key, "left").agg(F.count("*").alias("asked"), F.coalesce(F.sum((F.col("digest") == F.col("now")).cast("bigint")), F.lit(0)).alias("held"))
-
-
-def detection_chance(lost: float, asked: int) -> float:
-    """The chance that a challenge to ``asked`` rows meets one of a share ``lost``."""
-    return 1 - (1 - lost) ** asked
-
-
 # private reads
 def pir_answer(frame: DataFrame, position: str, value: str, chosen: Column) -> DataFrame:
     """A server's answer to a private read: the exclusive or of the chosen rows' values."""
@@ -327,24 +202,32 @@ def pir_read(server_a: DataFrame, server_b: DataFrame, position: str, value: str
     return a.join(F.broadcast(b)).select(F.expr("a ^ b").alias(value))  # one row each
 
 
-def share_values(frame: DataFrame, key: str, value: str, parties: int, seed: str) -> DataFrame:
-    """``frame`` with columns ``share_0 ...`` that add to ``value`` and are each, but the last, random numbers.
+#: Shares are numbers modulo this; sums of values must stay below half of it in size.
+MODULUS = 1 << 60
+
+
+def share_values(frame: DataFrame, key: str, value: str, parties: int, secrets: list[str] | None = None) -> DataFrame:
+    """``frame`` with columns ``share_0 ...`` that add to ``value`` modulo MODULUS; any of them but one say nothing of it.
 
-    Sums stay in 64 bits up to 2**23 times 2**40.
+    All shares but the last are drawn from a secret of their own, by default a
+    fresh one, and the key; keys must not recur. A null value has null shares.
     """
-    random = [hash_bits(key, f"share-{seed}-{i}", 40) for i in range(parties - 1)]
-    rest = F.col(value).cast("bigint")
+    secrets = secrets or [token_hex(16) for _ in range(parties - 1)]
+    random = [F.when(F.col(value).isNotNull(), hash_bits(key, f"share-{s}", 60)) for s in secrets]
+    rest = F.pmod(F.col(value).cast("bigint"), F.lit(MODULUS))
     for r in random:
-        rest = rest - r
+        rest = F.pmod(rest - r, F.lit(MODULUS))
     return frame.withColumns({f"share_{i}": r for i, r in enumerate(random)} | {f"share_{parties - 1}": rest})
 
 
 def shared_sum(shared: DataFrame, keys: list[str], parties: int) -> DataFrame:
     """``keys, total, n``: each party adds its own shares, and only the sums are put together."""
-    sums = shared.groupBy(*keys).agg(F.count("share_0").alias("n"), *(F.sum(f"share_{i}").alias(f"s{i}") for i in range(parties)))
+    each = lambda i: F.pmod(F.sum(F.col(f"share_{i}").cast("decimal(28,0)")), F.lit(MODULUS).cast("decimal(38,0)")).cast("bigint")
+    sums = shared.groupBy(*keys).agg(F.count("share_0").alias("n"), *(each(i).alias(f"s{i}") for i in range(parties)))
     total = F.col("s0")
     for i in range(1, parties):
-        total = total + F.col(f"s{i}")
+        total = F.pmod(total + F.col(f"s{i}"), F.lit(MODULUS))
+    total = F.when(total >= MODULUS // 2, total - MODULUS).otherwise(total)
     return sums.select(*keys, total.alias("total"), "n")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import ann, distributed
+from tidemark.operators import ann, distributed, proofs
 from tidemark.queries.relational import database
+from tidemark.session import Scratch
 from tidemark.sketches import summaries
 from tidemark.sources import load
 
@@ -63,10 +64,15 @@ def knn_batch(spark: SparkSession, base: str) -> DataFrame:
     return found.select("query", "neighbour", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def _asked(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors, and every fiftieth of them as the stated queries."""
+    e = load(spark, base, "embeddings")
+    return e, e.filter("vec_id % 50 = 0")
+
+
 def _recall(spark: SparkSession, base: str, method: str, search) -> DataFrame:
     """Whether a method finds at least nine in ten of the true ten nearest, over the stated queries."""
-    e = load(spark, base, "embeddings")
-    asked = e.filter("vec_id % 50 = 0")
+    e, asked = _asked(spark, base)
     metric = "<=>" if method == "lsh" else "<->"
     exact: dict[int, set[int]] = {}
     for r in ann.knn_batch(e, asked, "vec_id", "embedding", 10, metric).select("query", "neighbour").collect():
@@ -79,9 +85,48 @@ def _recall(spark: SparkSession, base: str, method: str, search) -> DataFrame:
     return spark.createDataFrame([(method, hits >= 0.9 * total)], "method string, recall_ok boolean")
 
 
+def _judged(found: DataFrame, exact: DataFrame, rows: int, most_read: float) -> DataFrame:
+    """Queries answered, and whether nine in ten true neighbours were found and only the allowed share of rows was read."""
+    hits = exact.join(found.select("query", "neighbour"), ["query", "neighbour"], "left_semi").count()
+    total, asked = exact.count(), exact.select("query").distinct().count()
+    read = found.groupBy("query").agg(F.max("read").alias("read")).agg(F.avg("read")).first()[0] or 0
+    order = found.filter("rank = 1").count()
+    return found.sparkSession.createDataFrame([(asked, order, hits >= 0.9 * total, read <= most_read * rows)], "asked bigint, answered bigint, recall_ok boolean, read_ok boolean")
+
+
 def knn_ivf(spark: SparkSession, base: str) -> DataFrame:
-    index = ann.IvfIndex.build(load(spark, base, "embeddings"), "embedding")
-    return _recall(spark, base, "ivf", lambda q: index.search(q, 10, "<->", None, "vec_id"))
+    e, asked = _asked(spark, base)
+    index = ann.IvfIndex.build(e, "embedding", "vec_id")
+    return _judged(index.search_batch(asked, 10), ann.knn_batch(e, asked, "vec_id", "embedding", 10), e.count(), 1.0)
+
+
+def _memories(spark: SparkSession, base: str) -> DataFrame:
+    """Memories with an embedding of 64 finite values, once each."""
+    m = load(spark, base, "memories").filter("id is not null and size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    return m.groupBy("id").agg(F.first("embedding").alias("embedding"))
+
+
+def knn_ivf_memories(spark: SparkSession, base: str) -> DataFrame:
+    """The ten nearest by angle of every memory whose id is divisible by 50: at most a tenth of all rows is compared with a query.
+
+    Where many memories tie in similarity the exact side's choice is the smaller id, as is the index's.
+    """
+    m = _memories(spark, base).filter("exists(embedding, x -> x <> 0)")
+    m = Scratch(spark, "memories").write("memories", m)
+    asked = m.filter("id % 50 = 0")
+    index = ann.IvfIndex.build(m, "embedding", "id", "<=>")
+    return _judged(index.search_batch(asked, 10), ann.knn_batch(m, asked, "id", "embedding", 10, "<=>"), m.count(), 0.1)
+
+
+def ivf_changes(spark: SparkSession, base: str) -> DataFrame:
+    """Nearest by an index that was built on half of the vectors, given the rest, and had every seventh removed; read back from its folder."""
+    e = load(spark, base, "embeddings")
+    index = ann.IvfIndex.build(e.filter("vec_id % 2 = 0"), "embedding", "vec_id")
+    index.insert(e.filter("vec_id % 2 = 1"))
+    index.remove(e.filter("vec_id % 7 = 3").select("vec_id"))
+    again = ann.IvfIndex(spark, index.path)
+    near = again.search(_query(spark, base), 10, probes=len(again.centroids))
+    return near.select("vec_id", F.round("distance", 6).alias("d"))
 
 
 def knn_lsh(spark: SparkSession, base: str) -> DataFrame:
@@ -130,28 +175,37 @@ def hll(spark: SparkSession, base: str) -> DataFrame:
 
 
 def count_min(spark: SparkSession, base: str) -> DataFrame:
+    """Estimates of all users' events: none too low, and nearly all within the bound of what they are too high."""
     ev = load(spark, base, "events")
-    cm = summaries.CountMin(0.0001, 0.001)
+    epsilon, delta = 0.0001, 0.001
+    cm = summaries.CountMin(epsilon, delta)
     est = cm.estimate(cm.build(ev, "user_id"), ev, "user_id")
-    exact = ev.groupBy("user_id").count()
-    return est.join(exact, "user_id").agg(F.count("*").alias("users"), F.min((F.col("estimate") >= F.col("count")).cast("int")).cast("boolean").alias("never_low"))
+    exact = ev.filter("user_id is not null").groupBy("user_id").count()
+    total = F.lit(ev.count() * epsilon)
+    low = F.min((F.col("estimate") >= F.col("count")).cast("int")).cast("boolean")
+    high = F.avg((F.col("estimate") - F.col("count") <= total).cast("int")) >= 1 - 2 * delta
+    return est.join(exact, "user_id").agg(F.count("*").alias("users"), low.alias("never_low"), high.alias("seldom_high"))
 
 
 def bloom_dedup(spark: SparkSession, base: str) -> DataFrame:
-    """Orders' customers by a filter of customers: none may be missed."""
+    """Orders' customers by a filter of customers: none may be missed, and of as many strangers about one in a hundred passes."""
     c, o = load(spark, base, "customer"), load(spark, base, "orders")
     bloom = summaries.Bloom(c.count())
-    probe = bloom.probe(bloom.build(c, "c_custkey"), o, "o_custkey")
-    return probe.groupBy("maybe").agg(F.count("*").alias("n"))
+    bits = bloom.build(c, "c_custkey")
+    found = bloom.probe(bits, o, "o_custkey").agg(F.sum(F.col("maybe").cast("bigint")).alias("found"))
+    strangers = bloom.probe(bits, c.select((F.col("c_custkey") + 10_000_000).alias("k")), "k").agg((F.avg(F.col("maybe").cast("int")) <= 0.03).alias("few_false"))
+    return found.join(F.broadcast(strangers))  # one row each
 
 
 def bloom_counting(spark: SparkSession, base: str) -> DataFrame:
-    """After two of three customers were removed again, the others are still found."""
+    """After two of three customers were removed again, the others are still found and few of the removed are."""
     c = load(spark, base, "customer").select("c_custkey")
-    kept = c.filter("c_custkey % 3 = 0")
+    kept, gone = c.filter("c_custkey % 3 = 0"), c.filter("c_custkey % 3 <> 0")
     bloom = summaries.Bloom(c.count())
-    found = bloom.probe_counters(bloom.counters(c, c.filter("c_custkey % 3 <> 0"), "c_custkey"), kept, "c_custkey")
-    return found.filter("maybe").agg(F.count("*").alias("found"))
+    counters = bloom.counters(c, gone, "c_custkey")
+    found = bloom.probe_counters(counters, kept, "c_custkey").agg(F.sum(F.col("maybe").cast("bigint")).alias("found"))
+    false = bloom.probe_counters(counters, gone, "c_custkey").agg((F.avg(F.col("maybe").cast("int")) <= 0.03).alias("few_false"))
+    return found.join(F.broadcast(false))  # one row each
 
 
 def heavy_hitters(spark: SparkSession, base: str) -> DataFrame:
@@ -220,42 +274,89 @@ def merkle_diff(spark: SparkSession, base: str) -> DataFrame:
     return distributed.merkle_diff(c, other, "c_custkey", ["c_name", "c_nationkey"])
 
 
+def quorum_repair(spark: SparkSession, base: str) -> DataFrame:
+    c = load(spark, base, "customer").select("c_custkey", "c_mktsegment")
+    copies = c.withColumn("replica", F.explode(F.array(*map(F.lit, range(3)))))
+    copies = copies.withColumn("version", F.when((F.col("replica") < 2) | (F.col("c_custkey") % 2 == 0), 2).otherwise(1))
+    return distributed.quorum_repair(copies, "c_custkey", "version", 2).select("c_custkey", "replica", F.col("version").cast("bigint").alias("version"), "c_mktsegment")
+
+
 def merkle_root(spark: SparkSession, base: str) -> DataFrame:
-    """The root over nations, and whether it proves them."""
-    n = load(spark, base, "nation")
-    tree = distributed.merkle_tree(n, ["n_nationkey"], ["n_nationkey", "n_name"])
-    top = tree.orderBy(F.desc("level")).first()
-    leaf = tree.filter("level = 0 and position = 11").first()
-    ok = distributed.verify_proof(leaf["hash"], 11, distributed.merkle_proof(tree, 11), top["hash"])
-    return spark.createDataFrame([(top["level"], ok)], "levels bigint, proved boolean")
+    """The root over customers, and whether it proves one of them."""
+    c = load(spark, base, "customer")
+    tree = proofs.merkle_tree(c, ["c_custkey"], proofs.content("c_custkey", "c_name"))
+    root, n = proofs.tree_root(tree)
+    at = n // 3
+    leaf = tree.filter(f"level = 0 and position = {at}").first()
+    ok = proofs.verify_proof(leaf["hash"], at, proofs.merkle_proofs(tree, [at])[at], root, n)
+    return spark.createDataFrame([(len(proofs.level_sizes(n)) - 1, root, ok)], "levels bigint, root string, proved boolean")
 
 
 def auth_range(spark: SparkSession, base: str) -> DataFrame:
-    got = distributed.authenticated_range(load(spark, base, "part").select("p_partkey", "p_size", "p_brand"), "p_size", 10, 20, ["p_partkey", "p_brand"])
-    return got["rows"].select("p_partkey", F.lit(got["consecutive"] and got["outside"]).alias("complete"))
+    """Parts of some sizes, and whether the answer proves itself against the published root."""
+    table = proofs.range_tree(load(spark, base, "part"), "p_size", ["p_partkey", "p_brand"])
+    answer = proofs.authenticated_range(table, 10, 20)
+    return proofs.in_range(answer, 10, 20).select("p_partkey", F.lit(proofs.verify_range(answer, table["root"], 10, 20)).alias("complete"))
+
+
+def auth_range_verified(spark: SparkSession, base: str) -> DataFrame:
+    """Which answers a verifier with the published root takes: the honest one, one of no rows, and what a dishonest server might send."""
+    table = proofs.range_tree(load(spark, base, "part"), "p_size", ["p_partkey", "p_brand"])
+    honest = proofs.authenticated_range(table, 10, 20)
+    rows, mid = honest["rows"], F.col("position") == honest["rows"].agg(F.floor(F.avg("position"))).first()[0]
+    last = rows.agg(F.max("position")).first()[0]
+    cases = {
+        "honest": honest,
+        "none there": proofs.authenticated_range(table, 1_000, 2_000),
+        "dropped row": {**honest, "rows": rows.filter(~mid)},
+        "dropped row, positions closed": {**honest, "rows": rows.filter(~mid).withColumn("position", F.col("position") - (F.col("position") > rows.agg(F.floor(F.avg("position"))).first()[0]).cast("bigint"))},
+        "altered value": {**honest, "rows": rows.withColumn("p_brand", F.when(mid, "Brand#00").otherwise(F.col("p_brand")))},
+        "altered number": {**honest, "rows": rows.withColumn("p_size", F.when(mid, F.col("p_size") + 1).otherwise(F.col("p_size")))},
+        "end left out": {**honest, "rows": rows.filter(F.col("position") < last)},
+        "narrower range": proofs.authenticated_range(table, 12, 20),
+        "row put in": {**honest, "rows": rows.union(rows.filter(mid))},
+    }
+    got = [(n, proofs.verify_range(a, table["root"], *((1_000, 2_000) if n == "none there" else (10, 20)))) for n, a in cases.items()]
+    return spark.createDataFrame(got, "answer string, accepted boolean")
 
 
 def auth_knn(spark: SparkSession, base: str) -> DataFrame:
     """The proved nearest neighbours of the first vector, and whether the proofs hold."""
     q = _query(spark, base)
-    got = distributed.authenticated_knn(load(spark, base, "embeddings"), "vec_id", "embedding", q, 5)
-    ok = distributed.verify_knn(got, got["root"], q)
+    got = proofs.authenticated_knn(load(spark, base, "embeddings"), "vec_id", "embedding", q, 5)
+    ok = proofs.verify_knn(got, got["root"], q)
     return spark.createDataFrame([(r["key"], round(r["distance"], 6), ok) for r in got["rows"]], "vec_id bigint, d double, proved boolean")
 
 
-def ledger_audit(spark: SparkSession, base: str) -> DataFrame:
-    """Chains of orders by customer, of which every 97th order was altered after it was sealed."""
+def _ledger(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Chains of orders by customer as they were sealed, and with every 97th order altered."""
     o = load(spark, base, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    sealed = distributed.ledger_chain(o, "o_custkey", "o_orderkey", ["o_orderstatus"])
-    altered = sealed.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 97 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return distributed.ledger_audit(altered, "o_custkey", "o_orderkey", ["o_orderstatus"])
+    sealed = Scratch(spark, "sealed").write("sealed", proofs.ledger_chain(o, "o_custkey", "o_orderkey", ["o_orderstatus"]))
+    return sealed, sealed.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 97 == 0, "X").otherwise(F.col("o_orderstatus")))
+
+
+def ledger_heads(spark: SparkSession, base: str) -> DataFrame:
+    return proofs.ledger_heads(_ledger(spark, base)[0], "o_custkey", "o_orderkey")
+
+
+def ledger_audit(spark: SparkSession, base: str) -> DataFrame:
+    """Entries altered after they were sealed: all from the first on no longer follow."""
+    return proofs.ledger_audit(_ledger(spark, base)[1], "o_custkey", "o_orderkey", ["o_orderstatus"]).drop("head_ok")
+
+
+def ledger_forged(spark: SparkSession, base: str) -> DataFrame:
+    """The altered entries with all hashes sealed anew: each follows, but the chain no longer leads to the pinned head."""
+    sealed, altered = _ledger(spark, base)
+    forged = proofs.ledger_chain(altered, "o_custkey", "o_orderkey", ["o_orderstatus"])
+    return proofs.ledger_audit(forged, "o_custkey", "o_orderkey", ["o_orderstatus"], proofs.ledger_heads(sealed, "o_custkey", "o_orderkey"))
 
 
 def retrievability(spark: SparkSession, base: str) -> DataFrame:
+    """A challenge to one in three customers of a store that lost a quarter and altered some of the rest."""
     c = load(spark, base, "customer").select("c_custkey", "c_name")
-    digests = c.select("c_custkey", distributed.sha("c_custkey", "c_name").alias("digest"))
-    got = distributed.retrievability(c.filter("c_custkey % 4 <> 1"), digests, "c_custkey", ["c_name"], 3)
-    return got.select((F.col("asked") > F.col("held")).alias("loss_found"))
+    kept = proofs.stored_tree(c, "c_custkey", ["c_name"])
+    stored = c.filter("c_custkey % 4 <> 1").withColumn("c_name", F.when(F.col("c_custkey") % 10 == 0, "?").otherwise(F.col("c_name")))
+    return proofs.retrievability(stored, kept, "c_custkey", 3)
 
 
 def pir_read(spark: SparkSession, base: str) -> DataFrame:
@@ -266,7 +367,7 @@ def pir_read(spark: SparkSession, base: str) -> DataFrame:
 
 def shared_sum(spark: SparkSession, base: str) -> DataFrame:
     o = load(spark, base, "orders")
-    return distributed.shared_sum(distributed.share_values(o, "o_orderkey", "o_custkey", 3, "s2"), ["o_orderstatus"], 3)
+    return distributed.shared_sum(distributed.share_values(o, "o_orderkey", "o_custkey", 3), ["o_orderstatus"], 3)
 
 
 def forget_keys(spark: SparkSession, base: str) -> DataFrame:
@@ -279,8 +380,9 @@ def forget_keys(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_l2, vec_cosine, vec_ip, vec_l1, vec_norm_dims, knn_exact, knn_radius, knn_batch, knn_ivf, knn_lsh, sq8_knn, pq_knn, blind_knn, crdt_knn, hll, count_min, bloom_dedup, bloom_counting,
-        heavy_hitters, quantiles_logbucket, reservoir, bitmap_ops, hrw_route, ring_route, token_bucket, vclock_compare, lww_merge, quorum_read, merkle_diff, merkle_root, auth_range, auth_knn, ledger_audit,
+        vec_l2, vec_cosine, vec_ip, vec_l1, vec_norm_dims, knn_exact, knn_radius, knn_batch, knn_ivf, knn_ivf_memories, ivf_changes, knn_lsh, sq8_knn, pq_knn, blind_knn, crdt_knn, hll, count_min, bloom_dedup, bloom_counting,
+        heavy_hitters, quantiles_logbucket, reservoir, bitmap_ops, hrw_route, ring_route, token_bucket, vclock_compare, lww_merge, quorum_read, quorum_repair, merkle_diff, merkle_root, auth_range, auth_range_verified, auth_knn,
+        ledger_heads, ledger_audit, ledger_forged,
         retrievability, pir_read, shared_sum, forget_keys,
     )
 }
@@ -300,16 +402,16 @@ SQL = {
     "knn_radius": f"SELECT vec_id FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {_FIRST} AS q FROM embeddings) WHERE list_cosine_distance(e, q) < 0.9",
     "knn_batch": "WITH d AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), "
         "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS rank FROM d) SELECT query, neighbour, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5",
-    "knn_ivf": "SELECT 'ivf' AS method, true AS recall_ok",
+    "knn_ivf": "SELECT count(*) AS asked, count(*) AS answered, true AS recall_ok, true AS read_ok FROM embeddings WHERE vec_id % 50 = 0",
     "knn_lsh": "SELECT 'lsh' AS method, true AS recall_ok",
     "sq8_knn": "SELECT 'sq8' AS method, true AS recall_ok",
     "pq_knn": "SELECT 'pq' AS method, true AS recall_ok",
     "blind_knn": f"SELECT vec_id, round(list_distance(e, q), 3) AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {_FIRST} AS q FROM embeddings) ORDER BY list_distance(e, q), vec_id LIMIT 10",
     "crdt_knn": f"SELECT vec_id, round(list_distance(e, q), 6) AS d FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: -x) ELSE CAST(embedding AS DOUBLE[]) END AS e, {_FIRST} AS q FROM embeddings) ORDER BY list_distance(e, q), vec_id LIMIT 10",
     "hll": "SELECT event_type, count(DISTINCT event_id) AS exact, true AS near FROM events GROUP BY event_type",
-    "count_min": "SELECT count(DISTINCT user_id) AS users, true AS never_low FROM events",
-    "bloom_dedup": "SELECT true AS maybe, count(DISTINCT o_custkey) AS n FROM orders",
-    "bloom_counting": "SELECT count(*) AS found FROM customer WHERE c_custkey % 3 = 0",
+    "count_min": "SELECT count(DISTINCT user_id) AS users, true AS never_low, true AS seldom_high FROM events",
+    "bloom_dedup": "SELECT count(DISTINCT o_custkey) AS found, true AS few_false FROM orders",
+    "bloom_counting": "SELECT count(*) AS found, true AS few_false FROM customer WHERE c_custkey % 3 = 0",
     "heavy_hitters": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC LIMIT 3",
     "quantiles_logbucket": "WITH b AS (SELECT event_type, CASE WHEN value > 0 THEN floor(log2(value)) * 16 + least(floor((value / pow(2, floor(log2(value))) - 1) * 16), 15) ELSE -1e12 END AS k, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL), "
         "s AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto, greatest(1, ceil(sum(n) OVER (PARTITION BY event_type) * 0.9)) AS rk FROM b) "
@@ -324,11 +426,23 @@ SQL = {
     "lww_merge": "SELECT user_id, value, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, value DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'purchase'",
     "quorum_read": "SELECT c_custkey, CAST(2 AS BIGINT) AS version, c_mktsegment FROM customer",
     "merkle_diff": "SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 THEN 'removed' ELSE 'changed' END AS change FROM customer WHERE c_custkey % 100 = 7 OR c_custkey % 50 = 3",
-    "merkle_root": "SELECT CAST(ceil(log2(count(*))) AS BIGINT) AS levels, true AS proved FROM nation",
+    "merkle_root": """
+        WITH RECURSIVE leaf AS (SELECT list(sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') ORDER BY c_custkey) AS l FROM customer),
+        t(k, l) AS (SELECT 0, l FROM leaf UNION ALL SELECT k + 1, list_transform(range((len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || '|' || l[least(2 * i + 2, len(l))])) FROM t WHERE len(l) > 1)
+        SELECT CAST(k AS BIGINT) AS levels, sha256((SELECT count(*) FROM customer) || '|' || l[1]) AS root, true AS proved FROM t WHERE len(l) = 1""",
     "auth_range": "SELECT p_partkey, true AS complete FROM part WHERE p_size BETWEEN 10 AND 20",
     "auth_knn": f"SELECT vec_id, round(list_distance(e, q), 6) AS d, true AS proved FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {_FIRST} AS q FROM embeddings) ORDER BY list_distance(e, q), vec_id LIMIT 5",
-    "ledger_audit": "WITH x AS (SELECT o_custkey, o_orderkey % 97 = 0 AS hit, lag(o_orderkey % 97 = 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) SELECT o_custkey, count(*) AS entries, count(*) FILTER (hit OR coalesce(before, false)) AS broken FROM x GROUP BY o_custkey",
-    "retrievability": "SELECT true AS loss_found",
+    "ledger_heads": """
+        WITH e AS (SELECT o_custkey, list(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
+        SELECT o_custkey, list_reduce(list_prepend('genesis', l), lambda a, x: sha256(a || '|' || x)) AS head, CAST(len(l) AS BIGINT) AS entries FROM e""",
+    "ledger_forged": "SELECT o_custkey, count(*) AS entries, CAST(0 AS BIGINT) AS broken, NOT bool_or(o_orderkey % 97 = 0) AS head_ok FROM orders GROUP BY o_custkey",
+    "auth_range_verified": "SELECT * FROM (VALUES ('honest', true), ('none there', true), ('dropped row', false), ('dropped row, positions closed', false), ('altered value', false), ('altered number', false), ('end left out', false), ('narrower range', false), ('row put in', false)) AS t(answer, accepted)",
+    "knn_ivf_memories": "SELECT count(DISTINCT id) AS asked, count(DISTINCT id) AS answered, true AS recall_ok, true AS read_ok FROM memories WHERE id % 50 = 0 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0",
+    "ivf_changes": f"SELECT vec_id, round(list_distance(e, q), 6) AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {_FIRST} AS q FROM embeddings WHERE vec_id % 7 <> 3) ORDER BY list_distance(e, q), vec_id LIMIT 10",
+    "quorum_repair": "WITH r AS (SELECT c_custkey, c_mktsegment, r AS replica, CASE WHEN r < 2 OR c_custkey % 2 = 0 THEN 2 ELSE 1 END AS version, row_number() OVER (PARTITION BY c_custkey ORDER BY sha256('quorum:' || c_custkey || '/' || r)[1:15], r) AS nth FROM customer, range(3) AS t(r)) "
+        "SELECT c_custkey, CAST(replica AS INTEGER) AS replica, CAST(2 AS BIGINT) AS version, c_mktsegment FROM r WHERE nth <= 2 AND version = 1",
+    "ledger_audit": "WITH f AS (SELECT o_custkey AS c, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1) SELECT o_custkey, count(*) AS entries, count(*) FILTER (o_orderkey >= first) AS broken FROM orders LEFT JOIN f ON c = o_custkey GROUP BY o_custkey",
+    "retrievability": "SELECT count(*) AS asked, count(*) FILTER (c_custkey % 4 <> 1 AND c_custkey % 10 <> 0) AS held FROM customer WHERE CAST('0x' || substring(sha256('challenge:' || c_custkey), 1, 15) AS BIGINT) % 3 = 0",
     "pir_read": "SELECT o_custkey FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)",
     "shared_sum": "SELECT o_orderstatus, CAST(sum(o_custkey) AS BIGINT) AS total, count(*) AS n FROM orders GROUP BY o_orderstatus",
     "forget_keys": "SELECT c_custkey, CASE WHEN c_nationkey % 5 <> 0 THEN c_name END AS c_name FROM customer",

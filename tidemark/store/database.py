@@ -8,6 +8,7 @@ and views alike: what a role may not see it sees nowhere.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -69,7 +70,7 @@ class Database:
         self.attached: dict[str, DataFrame] = {}
         self.explicit = False
         self._travels = True
-        self._indexes: dict[tuple, Any] = {}
+        self._indexes: dict[str, Any] = {}
         self._views: list[str] = []
         if ROOT_ROLE not in self.log.catalog.roles:
             self.log.catalog.roles[ROOT_ROLE] = Role(ROOT_ROLE, superuser=True, login=True)
@@ -81,6 +82,7 @@ class Database:
         # time travel is for reads: what a write reads is the latest state
         self._travels = isinstance(tree, Query) or tree.kind in ("explain", "copy")
         try:
+            self.log.refresh()
             if isinstance(tree, Query):
                 self._check_read(tree)
                 return self._rows(tree, params)
@@ -262,17 +264,47 @@ class Database:
         c = t.column(column) if column else None
         if c is None or c.type != "vector" or self._policy_guard(t, "select", "using") is not None:
             return None
-        key = (t.name, column, e.op, tuple(p for _, _, p in t.inserts + t.deletes))
-        if key not in self._indexes:
-            self._indexes[key] = ann.IvfIndex.build(self.log.read(t).select(*(F.col(f"`{n}`") for n in t.names)), column)
+        if self.log.staged is not None:
+            return None  # the index knows committed files only
+        index = self._vector_index(t, column, e.op)
         query = [float(x) for x in str(e.right.value).strip("[] ").split(",")]
-        near = self._indexes[key].candidates(query, e.op, q.limit)
+        near = index.candidates(query).drop("_key")
         self._views_for = self._frame_relation(near, t.fields)
         emitter = self._emitter()
         emitter.relation = lambda _n, rel=self._views_for: rel
         sql, fields = emitter.query(q)
         return Outcome("rows", self.spark.sql(sql), fields=fields)
 
+    def _vector_index(self, t: Table, column: str, metric: str):
+        """The inverted file of a column, kept beside the log: files committed since the last search are put in or taken out.
+
+        A table whose files were replaced has its index built anew.
+        """
+        from tidemark.operators import ann
+
+        folder = f"index-{t.name}-{column}-{ann.METRICS.index(metric)}"
+        key = F.concat_ws(":", STATEMENT, ROW).alias("_key")
+        rows = lambda df: df.select(key, *(F.col(f"`{n}`") for n in t.names))
+        now = {"names": list(t.names), "inserts": [p for _, _, p in t.inserts], "deletes": [p for _, _, p in t.deletes]}
+        known = json.loads(self.log.files.read(f"{folder}/state.json") or "null")
+        if known and known["names"] == now["names"] and set(known["inserts"]) <= set(now["inserts"]) and set(known["deletes"]) <= set(now["deletes"]):
+            now["path"] = known["path"]
+            index = self._indexes.get(now["path"]) or ann.IvfIndex(self.spark, f"{self.log.files.root}/{now['path']}")
+            fresh = [p for p in now["inserts"] if p not in known["inserts"]]
+            ended = [p for p in now["deletes"] if p not in known["deletes"]]
+            if fresh:
+                index.insert(rows(self.log.rows_of(t, fresh)))
+            if ended:
+                index.remove(self.log.ended_by(ended).select(key))
+        else:
+            fresh = ended = [""]
+            now["path"] = f"{folder}/{uuid.uuid4().hex[:8]}"
+            index = ann.IvfIndex.build(rows(self.log.read(t)), column, "_key", metric, f"{self.log.files.root}/{now['path']}")
+        if fresh or ended:
+            self.log.files.replace(f"{folder}/state.json", json.dumps(now))
+        self._indexes = {now["path"]: index}
+        return index
+
     def knn(self, table: str, column: str, query: list[float], k: int, metric: str = "<->") -> DataFrame:
         """The ``k`` rows of ``table`` nearest to ``query``; the fences of the role hold."""
         text = "[" + ",".join(map(str, query)) + "]"
@@ -1024,8 +1056,8 @@ class Database:
     def _do_commit(self, s: Statement, params: list | None) -> Outcome:
         if not self.explicit:
             raise SqlError("no transaction is open")
-        self.log.commit()
         self.explicit = False
+        self.log.commit()
         return Outcome("message", message="commit")
 
     def _do_rollback(self, s: Statement, params: list | None) -> Outcome:
