@@ -264,3 +264,81 @@ def test_memory_store(spark, tmp_path):
     assert [r[1] for r in m.recall("orion", [1, 0.1], 5)] == ["likes tea", "likes rain"]
     assert not m.forget("vega", a) and m.forget("orion", a)
     assert [r[1] for r in m.recall("orion", [1, 0])] == ["likes rain"]
+
+
+def test_two_writers_of_one_folder(spark, tmp_path):
+    """Each sees what the other committed; of two transactions that began together the second is refused and loses nothing of the first."""
+    from tidemark.store.log import Conflict
+
+    a, b = Database(spark, f"file://{tmp_path}/shared"), Database(spark, f"file://{tmp_path}/shared")
+    a.execute("CREATE TABLE n (x INT)")
+    a.execute("INSERT INTO n VALUES (1)")
+    b.execute("INSERT INTO n VALUES (2)")
+    assert sorted(a.execute("SELECT x FROM n").rows()) == [(1,), (2,)]
+    a.execute("BEGIN")
+    a.execute("INSERT INTO n VALUES (3)")
+    b.execute("INSERT INTO n VALUES (4)")
+    with pytest.raises(Conflict):
+        a.execute("COMMIT")
+    assert sorted(a.execute("SELECT x FROM n").rows()) == [(1,), (2,), (4,)]
+    a.execute("INSERT INTO n VALUES (5)")
+    assert len(b.execute("SELECT x FROM n").rows()) == len(Database(spark, f"file://{tmp_path}/shared").execute("SELECT x FROM n").rows()) == 4
+
+
+def test_upsert_folds_repeats_in_order(spark, tmp_path, monkeypatch):
+    from tidemark.store import database
+
+    monkeypatch.setattr(database, "FOLD", 3)
+    db = Database(spark, f"file://{tmp_path}/fold")
+    db.execute("CREATE TABLE t (k INT PRIMARY KEY, n INT, note TEXT)")
+    db.execute("INSERT INTO t VALUES (1, 0, ''), (2, 5, 'b'), (3, NULL, NULL)")
+    rows = ", ".join(f"(1, {i}, '{i}')" for i in range(10)) + ", (3, 7, 'x')"
+    out = db.execute(f"INSERT INTO t VALUES {rows} ON CONFLICT (k) DO UPDATE SET n = t.n + excluded.n, note = t.note || excluded.note WHERE excluded.n <> 4")
+    assert out.count == 2
+    assert sorted(db.execute("SELECT * FROM t").rows()) == [(1, 41, "012356789"), (2, 5, "b"), (3, None, None)]
+    db.execute("INSERT INTO t VALUES (2, 1, 'c'), (2, 2, 'd') ON CONFLICT (k) DO UPDATE SET n = (SELECT MAX(k) FROM t) + excluded.n")
+    assert db.execute("SELECT n, note FROM t WHERE k = 2").rows() == [(5, "b")]
+
+
+def test_serial_truncate_and_columns_keep_history(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/hist")
+    db.execute("CREATE TABLE t (id SERIAL PRIMARY KEY, v TEXT)")
+    for v in "abc":
+        db.execute(f"INSERT INTO t (v) VALUES ('{v}')")
+    db.execute("INSERT INTO t VALUES (9, 'i')")
+    db.execute("INSERT INTO t (v) VALUES ('j')")
+    assert db.execute("SELECT MAX(id) FROM t").rows() == [(10,)]
+    db.execute("DELETE FROM t WHERE id > 3")
+    db.execute("INSERT INTO t (v) VALUES ('d')")  # the next after the greatest that is held
+    assert sorted(db.execute("SELECT * FROM t").rows()) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    at = db.txid_current()
+    db.execute("ALTER TABLE t ADD COLUMN extra INT")
+    db.execute("UPDATE t SET extra = id * 2 WHERE id < 3")
+    db.execute("ALTER TABLE t DROP COLUMN v")
+    db.execute("ALTER TABLE t ADD COLUMN v TEXT")
+    assert sorted(db.execute("SELECT id, extra, v FROM t").rows()) == [(1, 2, None), (2, 4, None), (3, None, None), (4, None, None)]
+    assert db.execute("TRUNCATE t").count == 4 and db.execute("SELECT COUNT(*) FROM t").rows() == [(0,)]
+    db.execute("INSERT INTO t (extra) VALUES (7)")
+    assert db.execute("SELECT id, extra FROM t").rows() == [(1, 7)]
+    db.execute(f"SET transaction_time = {at}")
+    assert sorted(db.execute("SELECT id, extra FROM t").rows()) == [(1, None), (2, None), (3, None), (4, None)]
+
+
+def test_vector_index_is_kept_and_follows_writes(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/vec")
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, e VECTOR(2))")
+    db.execute("INSERT INTO t VALUES " + ", ".join(f"({i}, VECTOR '[{i}, {i % 7}]')" for i in range(60)))
+    near = lambda d: [r[0] for r in d.execute("SELECT id FROM t ORDER BY e <-> VECTOR '[20, 6]' LIMIT 1").rows()]
+    db.execute("SET vector_index = on")
+    assert near(db) == [20] and near(db) == [20]
+    db.execute("INSERT INTO t VALUES (100, VECTOR '[20, 5.9]')")
+    db.execute("DELETE FROM t WHERE id = 20")
+    path = dict(db._indexes)
+    assert near(db) == [100] and list(db._indexes) == list(path)
+    again = Database(spark, f"file://{tmp_path}/vec")
+    again.execute("SET vector_index = on")
+    assert near(again) == [100] and list(again._indexes) == list(path)
+    db.execute("UPDATE t SET e = VECTOR '[20, 6]' WHERE id = 3")
+    assert near(again) == [3]
+    db.execute("TRUNCATE t")
+    assert near(again) == []

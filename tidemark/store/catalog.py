@@ -56,6 +56,8 @@ class Table:
     grants: dict[str, list[str]] = field(default_factory=dict)
     inserts: list[list] = field(default_factory=list)  # [xid, statement, path]
     deletes: list[list] = field(default_factory=list)
+    cuts: list[list] = field(default_factory=list)  # [xid, inserts, deletes]: how many of each a TRUNCATE put out of sight
+    peaks: dict = field(default_factory=dict)  # of SERIAL columns, and the number of files they hold for
 
     def column(self, name: str) -> Column | None:
         return next((c for c in self.columns if c.name == name), None)

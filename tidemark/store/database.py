@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 from pyspark.sql import Column as SparkColumn
@@ -32,6 +32,8 @@ ROOT_ROLE = "root"
 PRIVILEGES = ("select", "insert", "update", "delete", "truncate")
 #: A recursive query that finds more rows than this is taken to be endless.
 MOST_RECURSIVE_ROWS = 1_000_000
+#: Hits of one key that a pass of ON CONFLICT DO UPDATE folds.
+FOLD = 1_000
 
 
 class ConstraintError(SqlError):
@@ -285,9 +287,9 @@ class Database:
         folder = f"index-{t.name}-{column}-{ann.METRICS.index(metric)}"
         key = F.concat_ws(":", STATEMENT, ROW).alias("_key")
         rows = lambda df: df.select(key, *(F.col(f"`{n}`") for n in t.names))
-        now = {"names": list(t.names), "inserts": [p for _, _, p in t.inserts], "deletes": [p for _, _, p in t.deletes]}
+        now = {"names": list(t.names), "inserts": [p for _, _, p in t.inserts], "deletes": [p for _, _, p in t.deletes], "cuts": t.cuts}
         known = json.loads(self.log.files.read(f"{folder}/state.json") or "null")
-        if known and known["names"] == now["names"] and set(known["inserts"]) <= set(now["inserts"]) and set(known["deletes"]) <= set(now["deletes"]):
+        if known and known["names"] == now["names"] and known["cuts"] == now["cuts"] and set(known["inserts"]) <= set(now["inserts"]) and set(known["deletes"]) <= set(now["deletes"]):
             now["path"] = known["path"]
             index = self._indexes.get(now["path"]) or ann.IvfIndex(self.spark, f"{self.log.files.root}/{now['path']}")
             fresh = [p for p in now["inserts"] if p not in known["inserts"]]
@@ -441,11 +443,26 @@ class Database:
             total += n
         table = F.broadcast(self.spark.createDataFrame(offsets or [(0, 0)], "_p bigint, _offset bigint"))
         held = held.join(table, part == F.col("_p")).withColumn("_at", F.col("_offset") + F.col("_n").bitwiseAND((1 << 33) - 1) + 1)
-        now = self.log.read(t).agg(*(F.max(f"`{m}`").alias(m) for m in missing)).first()
+        now = self._peaks(t, missing)
         for m in missing:
             held = held.withColumn(m, F.col("_at") + F.lit(now[m] or 0))
         return held.drop("_n", "_p", "_offset", "_at")
 
+    def _peaks(self, t: Table, columns: list[str]) -> dict[str, int]:
+        """The greatest number held in SERIAL columns: kept with the table, and looked up again only after rows were ended."""
+        if t.peaks.get("at") != [len(t.inserts), len(t.deletes), len(t.cuts)] or not set(columns) <= set(t.peaks["of"]):
+            every = [c.name for c in t.columns if c.serial]
+            got = self.log.read(t).agg(*(F.max(f"`{c}`").alias(c) for c in every)).first()
+            t.peaks = {"at": [len(t.inserts), len(t.deletes), len(t.cuts)], "of": {c: got[c] or 0 for c in every}}
+        return t.peaks["of"]
+
+    def _raise_peaks(self, t: Table, added: DataFrame) -> None:
+        """After an insert: the peaks with the new rows, if they were known before it."""
+        if t.peaks.get("at") == [len(t.inserts) - 1, len(t.deletes), len(t.cuts)]:
+            of = t.peaks["of"]
+            got = added.agg(*(F.max(f"`{c}`").alias(c) for c in of)).first()
+            t.peaks = {"at": [len(t.inserts), len(t.deletes), len(t.cuts)], "of": {c: max(n, got[c] or 0) for c, n in of.items()}}
+
     def _do_insert(self, s: Statement, params: list | None) -> Outcome:
         t = self._table(s.table)
         given = s.columns or t.names
@@ -485,6 +502,7 @@ class Database:
         self._check_rows(t, staged, "insert")
         self._check_unique(t, staged, self.log.read(t))
         self.log.add(t, n, path)
+        self._raise_peaks(t, staged)
         affected = staged if updated is None else staged.select(t.names).union(updated.select(t.names))
         return self._mutation(t, affected, returning, emitter, staged.count() + (count or 0))
 
@@ -598,51 +616,73 @@ class Database:
                 raise ConstraintError(f"contradiction in {c} of ({key}): held {bad[len(cols)]!r}, asserted {bad[len(cols) + 1]!r}")
 
     def _upsert(self, t: Table, hits: DataFrame, now: DataFrame, cols: list[str], conflict: dict, emitter: Emitter) -> tuple[DataFrame | None, int]:
-        """DO UPDATE on held rows. Hits of one row apply in the order of the statement, one round each."""
+        """DO UPDATE on held rows. Hits of one row apply in the order of the statement, up to FOLD of them in one pass over its key.
+
+        A pass folds the hits of a key from the held row on. Only where a
+        policy must see every row between two hits, or an expression asks
+        another table, a pass takes one hit of each key.
+        """
         guard = self._policy_guard(t, "update", "using")
-        w = F.row_number().over(_window(cols, ROW))
+        at_once = 1 if guard is not None or _asks_tables([e for _, e in conflict["set"]] + [conflict["where"]]) else FOLD
         scratch = Scratch(self.spark, "upsert")
-        hits = scratch.write("hits", hits.withColumn("_nth", w))
-        rounds = hits.agg(F.max("_nth")).first()[0] or 0
-        touched: DataFrame | None = None
-        current = now
-        for i in range(1, rounds + 1):
-            new = hits.filter(F.col("_nth") == i)
-            old = current.join(new.select(*cols), cols, "left_semi").select(current.columns)
-            if guard is not None and old.filter(F.expr(f"NOT coalesce({guard}, false)")).first() is not None:
-                raise PermissionDenied(f"a held row of {t.name} is outside of its row security policy")
-            left, right = self._view(old), self._view(new)
-            scope = Scope([(t.name, t.fields), ("excluded", t.fields)])
-            inner = Scope([(t.name, t.fields)])
-            values = {c: f"{name(t.name)}.{name(c)}" for c in t.names}
-            for c, e in conflict["set"]:
-                column = t.column(c)
-                if column is None:
-                    raise SqlError(f"unknown column {c}")
-                values[c] = self._coerce(self._either(emitter, e, inner, scope), column)
-            on = " AND ".join(f"{name(t.name)}.{name(c)} = excluded.{name(c)}" for c in cols)
-            where = f"WHERE {self._either(emitter, conflict['where'], inner, scope).sql}" if conflict["where"] is not None else ""
-            listed = ", ".join(f"{x} AS {name(c)}" for c, x in values.items())
-            step = self.spark.sql(f"SELECT {listed}, {name(t.name)}.{ROW}, {name(t.name)}.{STATEMENT} FROM {left} AS {name(t.name)} JOIN {right} AS excluded ON {on} {where}")
-            step = scratch.write(f"step{i}", step)
-            current = scratch.write(f"current{i}", current.join(hits.select(*cols).distinct(), cols, "left_semi").join(step.select(ROW, STATEMENT), [ROW, STATEMENT], "left_anti").select(step.columns).union(step))
-            touched = step if touched is None else touched.join(step.select(ROW, STATEMENT), [ROW, STATEMENT], "left_anti").select(step.columns).union(step)
-        if touched is None:
+        hits = scratch.write("hits", hits.withColumn("_pass", F.floor((F.row_number().over(_window(cols, ROW)) - 1) / at_once)))
+        passes = hits.agg(F.max("_pass")).first()[0]
+        if passes is None:
             return None, 0
-        touched = scratch.write("touched", touched)
+        keys = hits.select(*cols).distinct()
+        held = now.join(keys, cols, "left_semi").withColumn("_touched", F.lit(False))
+        current = scratch.write("current", held.select(*(F.col(f"`{c}`") for c in t.names), ROW, STATEMENT, "_touched"))
+        for i in range(passes + 1):
+            new = hits.filter(F.col("_pass") == i)
+            if guard is not None and current.join(new.select(*cols), cols, "left_semi").filter(F.expr(f"NOT coalesce({guard}, false)")).first() is not None:
+                raise PermissionDenied(f"a held row of {t.name} is outside of its row security policy")
+            step = self._fold(t, current, new, cols, conflict, emitter) if at_once > 1 else self._apply(t, current, new, cols, conflict, emitter)
+            current = scratch.write(f"current{i}", step)
+        touched = scratch.write("touched", current.filter("_touched").drop("_touched"))
         count = touched.count()
         if count:
             self._replace(t, touched, now, {c for c, _ in conflict["set"]})
         return touched, count
 
-    @staticmethod
-    def _either(emitter: Emitter, e, inner: Scope, both: Scope) -> Typed:
-        """Bare names are the held row's, ``excluded.`` the proposed one's."""
+    def _values(self, t: Table, conflict: dict, emitter: Emitter, held: str, new: str) -> tuple[dict[str, str], str]:
+        """What DO UPDATE makes of each column, and when, over a held and a new row under these names."""
+        outer = Scope([(t.name, t.fields), ("excluded", t.fields)])
+
         class Held(Scope):
             def find(self, table: str | None, column: str) -> Typed:
-                return both.find(table or inner.tables[0][0], column)
+                found = outer.find(table or t.name, column)
+                return Typed(f"{held if (table or t.name) != 'excluded' else new}.{name(column)}", found.type, found.scale)
 
-        return emitter.expr(e, Held(both.tables))
+        scope = Held(outer.tables)
+        values = {c: f"{held}.{name(c)}" for c in t.names}
+        for c, e in conflict["set"]:
+            column = t.column(c)
+            if column is None:
+                raise SqlError(f"unknown column {c}")
+            values[c] = f"CAST({self._coerce(emitter.expr(e, scope), column)} AS {column.spark})"
+        return values, f"coalesce({emitter.expr(conflict['where'], scope).sql}, false)" if conflict["where"] is not None else "true"
+
+    def _fold(self, t: Table, current: DataFrame, new: DataFrame, cols: list[str], conflict: dict, emitter: Emitter) -> DataFrame:
+        """Each held row after its hits of one pass, at most FOLD of them, in order."""
+        values, when = self._values(t, conflict, emitter, "_held", "_new")
+        row = F.struct(F.col(ROW).alias("_order"), *(F.col(f"`{c}`") for c in t.names))
+        listed = new.groupBy(*cols).agg(F.sort_array(F.collect_list(F.struct(F.col(ROW).alias("_order"), row.alias("_hit")))).alias("_hits"))
+        start = "named_struct(" + ", ".join(f"{text_literal(c)}, {name(c)}" for c in t.names) + ", '_touched', _touched)"
+        after = "named_struct(" + ", ".join(f"{text_literal(c)}, {x}" for c, x in values.items()) + ", '_touched', true)"
+        step = f"aggregate(transform(_hits, h -> h._hit), {start}, (_held, _new) -> IF({when}, {after}, _held))"
+        both = current.join(listed, cols, "left")
+        folded = both.withColumn("_after", F.expr(f"IF(_hits IS NULL, {start}, {step})"))
+        return folded.select(*(F.col(f"_after.`{c}`").alias(c) for c in t.names), ROW, STATEMENT, "_after._touched")
+
+    def _apply(self, t: Table, current: DataFrame, new: DataFrame, cols: list[str], conflict: dict, emitter: Emitter) -> DataFrame:
+        """Each held row after at most one hit."""
+        values, when = self._values(t, conflict, emitter, name(t.name), "excluded")
+        left, right = self._view(current), self._view(new.select(*(F.col(f"`{c}`") for c in t.names)))
+        on = " AND ".join(f"{name(t.name)}.{name(c)} = excluded.{name(c)}" for c in cols)
+        listed = ", ".join(f"{x} AS {name(c)}" for c, x in values.items())
+        ids = f"{name(t.name)}.{ROW}, {name(t.name)}.{STATEMENT}"
+        step = self.spark.sql(f"SELECT {listed}, {ids}, true AS _touched FROM {left} AS {name(t.name)} JOIN {right} AS excluded ON {on} WHERE {when}")
+        return current.join(step.select(ROW, STATEMENT), [ROW, STATEMENT], "left_anti").select(step.columns).union(step)
 
     def _replace(self, t: Table, rows: DataFrame, now: DataFrame, changed: set[str]) -> tuple[int, DataFrame]:
         """End the versions of ``rows`` and add their new values, with the checks and referential actions that ``changed`` columns call for."""
@@ -746,7 +786,8 @@ class Database:
         rows = self.log.read(t)
         count = rows.count()
         if count:
-            self._remove(t, rows)
+            self._children(t, rows, None, "delete")
+            self.log.cut(t)
         return Outcome("mutation", count=count)
 
     def _do_copy(self, s: Statement, params: list | None) -> Outcome:
@@ -867,7 +908,7 @@ class Database:
 
     def _rewrite(self, t: Table, rows: DataFrame) -> None:
         """The table's rows into fresh files; its history ends here."""
-        t.inserts, t.deletes = [], []
+        t.inserts, t.deletes, t.cuts, t.peaks = [], [], [], {}
         n, path, _ = self.log.stage(t, rows)
         self.log.add(t, n, path)
 
@@ -888,7 +929,8 @@ class Database:
             t.checks.append(d.check)
         if d.references:
             t.foreign.append(d.references)
-        self._rewrite(t, rows)
+        if d.default or d.serial:
+            self._rewrite(t, rows)  # else files without the column read as null
         return Outcome("ddl", message=f"added {d.name}")
 
     def _do_drop_column(self, s: Statement, params: list | None) -> Outcome:
@@ -901,12 +943,11 @@ class Database:
             raise ConstraintError(f"a constraint names {s.name}")
         if len(t.columns) == 1:
             raise SqlError("a table keeps one column")
-        rows = self.log.read(t)
-        t.columns = [c for c in t.columns if c.name != s.name]
+        t.columns = [c for c in t.columns if c.name != s.name]  # the files keep it, and no read asks for it
         t.uniques = [u for u in t.uniques if s.name not in u]
         t.primary = [] if s.name in t.primary else t.primary
         t.indexes = {k: v for k, v in t.indexes.items() if s.name not in v["columns"]}
-        self._rewrite(t, rows)
+        t.peaks = {}
         return Outcome("ddl", message=f"dropped {s.name}")
 
     def _do_rename_column(self, s: Statement, params: list | None) -> Outcome:
@@ -916,7 +957,7 @@ class Database:
             raise SqlError(f"unknown column {s.name}" if c is None else f"{s.to} exists")
         if self._bound(t, s.name):
             raise ConstraintError(f"a constraint names {s.name}")
-        c.name = s.to
+        c.name, t.peaks = s.to, {}
         swap = lambda cols: [s.to if x == s.name else x for x in cols]
         t.uniques, t.primary = [swap(u) for u in t.uniques], swap(t.primary)
         for v in t.indexes.values():
@@ -1194,6 +1235,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _asks_tables(x: Any) -> bool:
+    """Whether an expression, or any in a list, holds a query."""
+    if isinstance(x, (list, tuple)):
+        return any(map(_asks_tables, x))
+    return isinstance(x, Query) or (is_dataclass(x) and any(_asks_tables(getattr(x, f.name)) for f in fields(x)))
+
+
 def _window(cols: list[str], order: str):
     from pyspark.sql import Window
 
