@@ -1,24 +1,48 @@
 import numpy as np
 import pytest
 
-from tidemark.llm.mix import mix_documents, rake
+from tidemark.llm.mix import mix_documents, rake, topic
 
 
 def test_rake_meets_marginals():
     rng = np.random.default_rng(1)
-    size = rng.integers(50, 100, (3, 4, 5)).astype(float)
+    axes = [x.ravel() for x in np.indices((3, 4, 5))]
+    size = rng.integers(50, 100, 60).astype(float)
     want = [np.array([0.5, 0.3, 0.2]) * 1000, np.array([0.4, 0.3, 0.2, 0.1]) * 1000, np.full(5, 200.0)]
-    w = rake(size, np.full(size.shape, 50.0), want)
-    for axis in range(3):
-        rest = tuple(a for a in range(3) if a != axis)
-        assert np.allclose((size * w).sum(axis=rest), want[axis], rtol=1e-6)
+    w = rake(size, np.full(60, 50.0), axes, want)
+    for at, target in zip(axes, want):
+        assert np.allclose(np.bincount(at, weights=size * w), target, rtol=1e-6)
 
 
 def test_rake_keeps_caps():
-    size = np.array([[10.0, 10.0], [5.0, 0.0]])[:, :, None]
-    w = rake(size, np.array([1.0, 3.0])[:, None, None] * np.ones(size.shape), [np.array([20.0, 90.0]), np.array([70.0, 40.0]), np.array([110.0])])
-    assert (w <= np.array([1.0, 3.0])[:, None, None] + 1e-12).all()
-    assert np.isclose((size * w).sum(axis=(1, 2))[1], 15.0)  # the most that its cap allows
+    axes = [np.array([0, 0, 1]), np.array([0, 1, 0])]
+    w = rake(np.array([10.0, 10.0, 5.0]), np.array([1.0, 1.0, 3.0]), axes, [np.array([20.0, 90.0]), np.array([70.0, 40.0])])
+    assert (w <= np.array([1.0, 1.0, 3.0]) + 1e-12).all()
+    assert np.isclose(5.0 * w[2], 15.0)  # the most that its cap allows
+
+
+def test_topics(spark):
+    paths = ["src/a.py", "Tests/x/y.go", "licence.md", "docs/LICENSE", "pkg/vendor/b.c", "/tools/a", "x.py", "", None, "licences_of/a.py"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string")
+    got = [r[1] for r in sorted(df.select("i", topic()).collect())]
+    assert got == ["application", "tests", "licence", "licence", "library", "tools", "other", "other", "other", "other"]
+
+
+def test_many_languages_are_all_raked(spark):
+    """Each of two hundred languages keeps its share, none is pooled."""
+    rows = [(i, "a" if i % 2 else "b", f"lang{i % 200}", "src/x", "word " * (3 + i % 9), 0) for i in range(6000)]
+    targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 1)], TARGETS)
+    mixed, report = mix_documents(spark.createDataFrame(rows, DOCS), targets)
+    assert all(r["met"] for r in report.collect()) and mixed.select("language").distinct().count() == 200
+
+
+def test_the_last_documents_fill_the_target(spark):
+    """Sizes differ a thousandfold, so a whole document more or less would miss by far."""
+    rows = [(i, "a" if i % 3 else "b", "go", "src/x", "word " * (2000 if i % 10 == 0 else 2 + i % 40), 0) for i in range(300)]
+    targets = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 2)], TARGETS)
+    for total in (5_000, 20_000):
+        _, report = mix_documents(spark.createDataFrame(rows, DOCS), targets, total_tokens=total)
+        assert all(r["met"] and abs(r["deviation"]) < 0.005 for r in report.collect())
 
 
 DOCS = "doc_id long, source string, lang string, path string, text string, tokens long"
@@ -56,7 +80,7 @@ def test_an_unreachable_target_is_reported(spark, docs):
     targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 2)], TARGETS)
     _, report = mix_documents(docs, targets, total_tokens=20_000)
     rep = {r["source"]: r for r in report.collect()}
-    assert not rep["tiny"]["met"] and rep["tiny"]["actual_tokens"] == rep["tiny"]["most_tokens"]
+    assert not rep["tiny"]["met"] and not rep["tiny"]["reachable"] and rep["tiny"]["actual_tokens"] == rep["tiny"]["most_tokens"]
     assert rep["big"]["met"] and abs(rep["big"]["actual_tokens"] - 10_000) < 200
 
 

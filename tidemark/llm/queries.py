@@ -39,6 +39,17 @@ def p7_short(spark: SparkSession, base: str) -> DataFrame:
     return mix.mix_documents(load(spark, base, "documents"), load(spark, base, "mix_targets"), total_tokens=int(2 * (total or 0)))[1]
 
 
+def p7_checked(spark: SparkSession, base: str) -> DataFrame:
+    """Per listed source the documents with text, and whether the mix keeps its promises: the target within one part in a hundred, repeats within the cap."""
+    mixed, report = mix.mix_documents(load(spark, base, "documents"), load(spark, base, "mix_targets"))
+    caps = load(spark, base, "mix_targets").select("source", "max_repeats")
+    texts = load(spark, base, "documents").filter("text <> ''").groupBy("source").agg(F.count("*").alias("texts"))
+    own = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("own"), F.count_distinct("doc_id").alias("ids"), F.count("*").alias("rows"))
+    all_ = report.join(caps, "source").join(texts, "source", "left").join(own, "source", "left")
+    true = (F.col("own") == F.col("actual_tokens")) & (F.col("ids") == F.col("rows")) & (F.col("documents") == F.col("rows"))
+    return all_.select("source", "target_share", "texts", "met", (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), true.alias("true_report"))
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return visual.lookalike_pairs(load(spark, base, "documents"))
 
@@ -47,7 +58,7 @@ def p8_forms(spark: SparkSession, base: str) -> DataFrame:
     return visual.text_forms(load(spark, base, "documents")).select("doc_id", "form", "mixed_words", "whole_words")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p5_found, p6_ids, p7_mix, p7_shares, p7_short, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p5_found, p6_ids, p7_mix, p7_shares, p7_short, p7_checked, p8_found, p8_forms)}
 
 #: Full-width ASCII and its plain form.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
@@ -71,6 +82,7 @@ SQL = {
         s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM u a JOIN u b ON a.tenant = b.tenant AND a.id <> b.id),
         r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s WHERE s >= 0.86)
         SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE n <= 5""",
+    "p7_checked": "SELECT source, target_share, (SELECT count(*) FROM documents d WHERE d.source = m.source AND text <> '') AS texts, true AS met, true AS capped, true AS true_report FROM mix_targets m",
     "p8_found": f"""
         WITH t AS (SELECT doc_id, text, nfc_normalize(translate(nfc_normalize(translate(regexp_replace(text, '[\u00ad\u034f\u061c\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]', '', 'g'), {_quoted(_BLANKS + _WIDE)}, {_quoted(" " * len(_BLANKS) + _NARROW)})),
             {_quoted("".join(p[0] for p in _LOOKS))}, {_quoted("".join(p[1] for p in _LOOKS))})) AS form FROM documents WHERE text <> '')
