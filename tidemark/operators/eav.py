@@ -182,6 +182,30 @@ def _latest(columns: tuple[str, str, str, str, str], catalogue: list[tuple[str,
     return run
 
 
+#: A decimal of 38 figures as it lies in memory.
+_WIDE = np.dtype([("low", "<i8"), ("high", "<i8")])
+
+
+def _typed(cell: pa.Array, kind: str) -> np.ndarray:
+    """Cells written as text, none null, as one array of their type."""
+    if kind == "boolean":
+        return pc.equal(cell, "true").to_numpy(zero_copy_only=False)
+    values = pc.cast(cell, ARROW[kind])
+    if kind == "decimal":
+        return np.frombuffer(values.buffers()[1], dtype=_WIDE)[values.offset : values.offset + len(values)] if len(values) else np.empty(0, dtype=_WIDE)
+    return (pc.cast(values, pa.int32()) if kind == "date" else values).to_numpy(zero_copy_only=False)
+
+
+def _column(values: np.ndarray, empty: np.ndarray, kind: str, cell: pa.Array) -> pa.Array:
+    """One column of a typed grid; texts are the places of their cells."""
+    if kind == "text":
+        return cell.take(pa.array(values, mask=empty))
+    if kind == "decimal":
+        there = np.packbits(~empty, bitorder="little")
+        return pa.Array.from_buffers(ARROW[kind], len(values), [pa.py_buffer(there), pa.py_buffer(np.ascontiguousarray(values))])
+    return pa.array(values, pa.int32(), mask=empty).cast(pa.date32()) if kind == "date" else pa.array(values, ARROW[kind], mask=empty)
+
+
 def _scatter(catalogue: list[tuple[str, str]], subject: str, flush: int):
     """For one bucket, sorted by entity: typed arrays filled by row and column, emitted as Arrow tables."""
     types = sorted({t for _, t in catalogue})
@@ -191,17 +215,20 @@ def _scatter(catalogue: list[tuple[str, str]], subject: str, flush: int):
     for k, t in enumerate(types):
         for j, i in enumerate(slot[t]):
             within[i], kind[i] = j, k
-    convert = {"text": lambda s: s, "integer": int, "decimal": Decimal, "date": date.fromisoformat, "boolean": lambda s: s == "true"}
 
-    def emit(entity: list[str], row: np.ndarray, att: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    def emit(entity: pa.Array, row: np.ndarray, att: np.ndarray, cell: pa.Array) -> pa.RecordBatch:
         columns: list = [None] * len(catalogue)
         for k, t in enumerate(types):
-            grid = np.full((len(slot[t]), len(entity)), None, dtype=object)
-            mine = kind[att] == k
-            grid[within[att[mine]], row[mine]] = [convert[t](s) for s in cell[mine]]
+            mine = np.flatnonzero(kind[att] == k)
+            at = within[att[mine]], row[mine]
+            empty = np.ones((len(slot[t]), len(entity)), dtype=bool)
+            empty[at] = False
+            values = mine if t == "text" else _typed(cell.take(pa.array(mine)), t)
+            grid = np.zeros(empty.shape, dtype=values.dtype)
+            grid[at] = values
             for j, i in enumerate(slot[t]):
-                columns[i] = pa.array(grid[j].tolist(), ARROW[t])
-        return pa.RecordBatch.from_arrays([pa.array(entity, pa.string()), *columns], names=[subject, *(a for a, _ in catalogue)])
+                columns[i] = _column(grid[j], empty[j], t, cell)
+        return pa.RecordBatch.from_arrays([entity, *columns], names=[subject, *(a for a, _ in catalogue)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -219,12 +246,7 @@ def _scatter(catalogue: list[tuple[str, str]], subject: str, flush: int):
 
     def pack(table: pa.Table) -> pa.RecordBatch:
         ent = table.column("entity").combine_chunks().dictionary_encode()
-        return emit(
-            ent.dictionary.to_pylist(),
-            ent.indices.to_numpy(zero_copy_only=False),
-            table.column("att").to_numpy(),
-            table.column("cell").to_numpy(zero_copy_only=False),
-        )
+        return emit(ent.dictionary, ent.indices.to_numpy(zero_copy_only=False), table.column("att").to_numpy(), table.column("cell").combine_chunks())
 
     return run
 

@@ -80,3 +80,14 @@ SQL = {
                CASE WHEN t = TIMESTAMP '9999-01-01' THEN 'open' ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END AS to_at
         FROM x WHERE f IS NOT NULL""",
 }
+
+#: The columns of the wide table, which SQL must name, and their types.
+_COLUMNS = {
+    "VARCHAR": "display_label escalation_path home_zone locale_tag preferred_tone",
+    "BIGINT": "max_recall retry_budget seat_count token_ceiling",
+    "DECIMAL(38, 2)": "score_ratio spend_limit unit_cost",
+    "DATE": "dormant_since first_contact_on last_seen_on renewal_on",
+    "BOOLEAN": "archived dual_control is_trial opted_in",
+}
+_WIDE = ", ".join(f"CAST(max(cell) FILTER (attribute = '{a}') AS {t}) AS {a}" for t, names in _COLUMNS.items() for a in names.split())
+SQL["p3_wide"] = f"SELECT subject, {_WIDE} FROM ({SQL['p3_found']}) GROUP BY subject"
