@@ -1,10 +1,12 @@
 import base64
 
+import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.encode import VOCABULARIES, VOCABULARY, Encoder, Merges, token_counts, token_ids
+from tidemark.llm.encode import PATTERN, VOCABULARIES, VOCABULARY, Encoder, Merges, token_counts, token_ids
 from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -82,3 +84,46 @@ def test_ids_of_documents(spark, oracle):
 
 def test_empty_table(spark):
     assert token_ids(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _cut(texts):
+    from tidemark.llm.encode import word_starts
+
+    text = "".join(texts)
+    length = np.array([len(x) for x in texts])
+    first = np.zeros(len(text), dtype=bool)
+    first[(np.cumsum(length) - length)[length > 0]] = True
+    begin = word_starts(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), first).tolist()
+    return [text[a:b] for a, b in zip(begin, [*begin[1:], len(text)])]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 '\n\tstrevlmd. 　éЖ٣²́x\x1c\x85", max_size=30), min_size=1, max_size=5))
+def test_words_are_those_of_the_pattern(texts):
+    assert not any(texts) or _cut(texts) == [w for t in texts for w in regex.findall(PATTERN, t)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab '\n\ts.　é", max_size=80), st.integers(1, 20))
+def test_pieces_have_the_same_words(text, most):
+    from tidemark.llm.encode import pieces
+
+    parts = pieces(text, most)
+    assert "".join(parts) == text and [w for p in parts for w in regex.findall(PATTERN, p)] == regex.findall(PATTERN, text)
+
+
+def test_long_texts_and_equal_sums(monkeypatch):
+    """A text of several blocks, and sums that tell no two words apart, give the same ids."""
+    from tidemark.llm import encode
+
+    with open(f"{VOCABULARIES}/{VOCABULARY}.json", "rb") as f:
+        merges = Merges(f.read())
+    texts = ["one two  three\n" * 40 + "it's we'll " + "x" * 300, "", "two one", "　é" * 50]
+    ids, sizes = encode.Encoder(merges).block(texts)
+    monkeypatch.setattr(encode, "BLOCK_CHARS", 100)
+    again, same = encode.Encoder(merges).block(texts)
+    assert ids.tolist() == again.tolist() and sizes.tolist() == same.tolist()
+    poor = encode.Encoder(merges)
+    poor.base = 1
+    third, also = poor.block(texts)
+    assert ids.tolist() == third.tolist() and sizes.tolist() == also.tolist()
