@@ -20,7 +20,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], counts: Dat
     rest is joined by key, or by broadcast where Spark finds it small. Rows
     with a null key have no partner.
     """
-    hot = F.broadcast(counts.filter(F.col("n") * SHARE > total).select(*keys))  # fewer than SHARE rows
+    hot = counts.filter(F.col("n") * SHARE > total).select(*keys)
+    if not hot.limit(1).count():
+        return rows.join(groups, keys)
+    hot = F.broadcast(hot)  # fewer than SHARE rows
     near = rows.join(F.broadcast(groups.join(hot, keys, "left_semi")), keys)
     return near.unionByName(rows.join(hot, keys, "left_anti").join(groups.join(hot, keys, "left_anti"), keys))
 
