@@ -161,17 +161,20 @@ def nearest(ids: np.ndarray, unit: np.ndarray, curves: Curves, which: range | li
     return ids[r], ids[c], v
 
 
-def _prepare(width: int, curves: Curves | None, which: list[int]):
+_KEYED = "id bigint, tenant string, vec binary, keys array<bigint>"
+
+
+def _prepare(width: int, curves: Curves, which: list[int]):
+    """Usable vectors, packed, with their keys on some curves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, values = usable(batch.column("embedding"), width)
             take, vec = pa.array(at), pack(values)
-            out = [batch.column("id").take(take), batch.column("tenant").take(take), vec]
-            if curves is not None:
-                unit = unpack(vec, width)
-                keys = np.stack([curves.keys(unit, w) for w in which], axis=1) if len(at) else np.empty((0, len(which)), dtype=np.int64)
-                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(which), pa.int32()), pa.array(keys.ravel(), pa.int64())))
-            yield pa.RecordBatch.from_arrays(out, names=["id", "tenant", "vec", "keys"][: len(out)])
+            unit = unpack(vec, width)
+            keys = np.stack([curves.keys(unit, w) for w in which], axis=1) if len(at) else np.empty((0, len(which)), dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(which), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tenant").take(take), vec, lists], names=["id", "tenant", "vec", "keys"])
 
     return run
 
@@ -298,17 +301,16 @@ def similar_pairs(
     total = memories.count()
     curves = Curves(splits * orders, width)
     which = [s * orders for s in range(splits)]
-    plain = rows.mapInArrow(_prepare(width, None, []), "id bigint, tenant string, vec binary").withColumn("like", F.unhex(F.md5("vec")))
+    like = F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(i), "embedding")), 16, "0") for i in range(2)))  # 128 bits tell vectors apart
+    plain = rows.filter("embedding is not null").withColumn("like", like)
     equal = scratch.write("equal", plain.groupBy("tenant", "like").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1))
     some = bool(equal.limit(1).count())
-    keyed = rows.mapInArrow(_prepare(width, curves, which), "id bigint, tenant string, vec binary, keys array<bigint>")
     if some:
-        copies = join_groups(plain, equal, ["tenant", "like"], equal, total)
-        few = least_of_group(copies, ["tenant", "like"], "id", ["vec"], k + 1, total)
+        few = least_of_group(join_groups(plain, equal, ["tenant", "like"], equal, total), ["tenant", "like"], "id", ["embedding"], k + 1, total)
         firsts = scratch.write("firsts", few.withColumnRenamed("values", "ids"))  # per group the least ids and the vector
-        back = firsts.select(F.explode("ids").alias("id"), "tenant", "vec")
-        alone = keyed.withColumn("like", F.unhex(F.md5("vec"))).join(equal.select("tenant", "like"), ["tenant", "like"], "left_anti").drop("like")
-        keyed = alone.select("id", "tenant", "vec", "keys").union(back.mapInArrow(_rekey(width, curves, which), "id bigint, tenant string, vec binary, keys array<bigint>"))
+        back = firsts.select(F.explode("ids").alias("id"), "tenant", "embedding")
+        rows = plain.join(equal.select("tenant", "like"), ["tenant", "like"], "left_anti").select("id", "tenant", "embedding").union(back)
+    keyed = rows.mapInArrow(_prepare(width, curves, which), _KEYED)
     parts = max(1, min(spark.sparkContext.defaultParallelism, total * splits // (4 * HALO)), min(MOST_TASKS, total * splits // part_rows))
     placed = keyed.select("id", "tenant", "vec", F.posexplode("keys").alias("curve", "key"))
     ordered = placed.repartitionByRange(parts, "curve", "tenant", "key", "id").sortWithinPartitions("curve", "tenant", "key", "id")
@@ -322,19 +324,8 @@ def similar_pairs(
     if some:
         best = scratch.write("best", best)
         shared = firsts.filter(F.size("ids") > k).join(best.withColumnRenamed("a", "last"), F.element_at("ids", k + 1) == F.col("last")).select("tenant", "like", "ids", "best")
-        others = join_groups(plain.drop("vec"), shared, ["tenant", "like"], equal, total).filter(~F.array_contains("ids", F.col("id")))
+        others = join_groups(plain.drop("embedding"), shared, ["tenant", "like"], equal, total).filter(~F.array_contains("ids", F.col("id")))
         best = best.union(others.select("id", "best").dropDuplicates(["id"]))
     each = best.select("a", F.explode("best").alias("x"))
     pairs = each.select(F.least("a", "x.b").alias("id_a"), F.greatest("a", "x.b").alias("id_b"), "x.far").distinct()
     return pairs.select("id_a", "id_b", F.round(1 - F.col("far") / UNITS, 9).alias("similarity"))
-
-
-def _rekey(width: int, curves: Curves, which: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = unpack(batch.column("vec"), width)
-            keys = np.stack([curves.keys(unit, w) for w in which], axis=1) if len(unit) else np.empty((0, len(which)), dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * len(which), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tenant"), batch.column("vec"), lists], names=["id", "tenant", "vec", "keys"])
-
-    return run
