@@ -39,6 +39,8 @@ AXES, BITS, SPLITS, ORDERS = 6, 7, 2, 2
 #: Rows of a tile, tiles that a tile meets on each side, rows of a block, and tasks of a curve pass at most (tasks then get longer, not blocks).
 TILE, BAND, BLOCK, MOST_TASKS = 1_024, 4, 65_536, 20_000
 HALO = TILE * BAND
+#: Hits a row of a tile may have before they are cut to its best.
+DENSE = 8
 #: What single precision may be off by, and the units of a list's distances.
 OFF, UNITS = 4e-6, 1_000_000_000
 
@@ -113,20 +115,30 @@ class Lists:
                 sims = held[a : a + TILE] @ held[b : b + TILE].T
                 if a == b:
                     np.fill_diagonal(sims, -2)
-                self._show(sims, sims.max(axis=1), order[a : a + TILE], order[b : b + TILE])
-                if a != b:
-                    self._show(sims.T, sims.max(axis=0), order[b : b + TILE], order[a : a + TILE])
+                self._show(sims, order[a : a + TILE], order[b : b + TILE], a == b)
         return n <= (band + 1) * TILE
 
-    def _show(self, sims: np.ndarray, most: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+    def _hits(self, sims: np.ndarray, most: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``sims``, by row, that may change the row's list; where most would, only those about as good as its best ``k``."""
         hit = np.flatnonzero(most >= self.bound[rows])
         if not len(hit):
+            return hit, hit
+        part, floor = np.ascontiguousarray(sims[hit]), self.bound[rows[hit]]
+        at = np.flatnonzero(part >= floor[:, None])
+        if len(at) > DENSE * len(hit) and part.shape[1] > self.k:
+            best = np.partition(part, -self.k, axis=1)[:, -self.k] - np.float32(2 * OFF)
+            at = np.flatnonzero(part >= np.maximum(best, floor)[:, None])
+        return hit[at // part.shape[1]], at % part.shape[1]
+
+    def _show(self, sims: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> None:
+        """Two tiles' similarities, to the lists of both."""
+        i, j = self._hits(sims, sims.max(axis=1), rows)
+        r, c = rows[i], cols[j]
+        if not same:
+            j, i = self._hits(sims.T, sims.max(axis=0), cols)
+            r, c = np.append(r, cols[j]), np.append(c, rows[i])
+        if not len(r):
             return
-        part, floor = sims[hit], self.bound[rows[hit]]
-        if part.shape[1] > self.k:
-            floor = np.maximum(floor, np.partition(part, -self.k, axis=1)[:, -self.k] - np.float32(2 * OFF))
-        i, j = np.nonzero(part >= floor[:, None])
-        r, c = rows[hit[i]], cols[j]
         v = np.round(np.einsum("ij,ij->i", self.unit[r], self.unit[c]), 9)  # the same wherever the two meet
         good = v >= np.maximum(self.value[r, -1], self.least)
         r, c, v = r[good], c[good], v[good]
