@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.queries.relational import database
 from tidemark.session import Scratch
 from tidemark.sources import load
+from tidemark.store import secrets
 from tidemark.streaming import streams
 
 
@@ -167,6 +168,90 @@ def knn_indexed(spark: SparkSession, base: str) -> DataFrame:
     return spark.createDataFrame([(got[0], len(got))], "nearest bigint, n bigint")
 
 
+def upsert_repeats(spark: SparkSession, base: str) -> DataFrame:
+    """Every order hits its customer: a key is updated as often as it has orders, in their order."""
+    db = _customers(spark, base)
+    db.execute("CREATE TABLE s (k INT PRIMARY KEY, orders INT, last INT)")
+    db.execute("INSERT INTO s SELECT k, 0, 0 FROM c")
+    db.execute(
+        "INSERT INTO s SELECT o_custkey, 1, o_orderkey FROM orders WHERE o_custkey > 20 "
+        "ON CONFLICT (k) DO UPDATE SET orders = s.orders + excluded.orders, last = GREATEST(s.last, excluded.last) WHERE MOD(excluded.last, 5) <> 0"
+    )
+    return db.sql("SELECT k, orders, last FROM s")
+
+
+def truncate_travel(spark: SparkSession, base: str) -> DataFrame:
+    """A truncated table is empty but for what came after, and whole as of before."""
+    db = _customers(spark, base)
+    at = db.txid_current()
+    db.execute("TRUNCATE c")
+    db.execute("INSERT INTO c SELECT c_custkey, 'again', c_nationkey, c_acctbal FROM customer WHERE c_custkey <= 20")
+    now = db.sql("SELECT 'now' AS at, COUNT(*) AS n, MAX(k) AS top FROM c")
+    db.execute(f"SET transaction_time = {at}")
+    return now.union(db.sql("SELECT 'before' AS at, COUNT(*) AS n, MAX(k) AS top FROM c"))
+
+
+def values_and_parameters(spark: SparkSession, base: str) -> DataFrame:
+    db = _customers(spark, base)
+    for k, text in ((-1, "one"), (-2, None)):
+        db.execute("INSERT INTO c (k, name, nation) VALUES ($1, $2, 3)", [k, text])
+    return db.execute("SELECT k, name FROM c WHERE k < $1 OR nation = $2", [0, 7]).frame
+
+
+def grant_and_revoke(spark: SparkSession, base: str) -> DataFrame:
+    """What a role may do after each step: nothing, read, nothing again; and the table once it is dropped."""
+    db = _customers(spark, base)
+    db.execute("CREATE ROLE bob")
+
+    def may(sql: str) -> bool:
+        try:
+            return db.execute(sql) is not None
+        except (PermissionError, ValueError, RuntimeError):
+            return False
+
+    got = []
+    for i, step in enumerate(("SELECT k FROM c LIMIT 1", "GRANT SELECT ON c TO bob", "REVOKE SELECT ON c FROM bob", "DROP TABLE c")):
+        db.execute(step)
+        db.execute("SET ROLE bob")
+        got.append((i, may("SELECT COUNT(*) FROM c"), may("DELETE FROM c WHERE k < 0")))
+        db.execute("RESET ROLE")
+    return spark.createDataFrame(got, "step bigint, may_read boolean, may_delete boolean")
+
+
+def vector_functions(spark: SparkSession, base: str) -> DataFrame:
+    db = database(spark, base, ["embeddings"])
+    first = load(spark, base, "embeddings").orderBy("vec_id").first()
+    q = "VECTOR '[" + ",".join(map(repr, first["embedding"])) + "]'"
+    listed = ", ".join(f"ROUND({f}(embedding, {q}), 6) AS {f}" for f in ("l2_distance", "l1_distance", "cosine_distance", "inner_product"))
+    return db.sql(f"SELECT vec_id, {listed} FROM embeddings")
+
+
+def database_knn(spark: SparkSession, base: str) -> DataFrame:
+    db = database(spark, base, ["embeddings"])
+    first = load(spark, base, "embeddings").orderBy("vec_id").first()
+    return db.knn("embeddings", "embedding", list(first["embedding"]), 5).select("vec_id")
+
+
+def secrets_kept(spark: SparkSession, base: str) -> DataFrame:
+    """Shares, tokens and a sealed log over customers' names: what holds, and what must not."""
+    names = [r[0].encode() for r in load(spark, base, "customer").orderBy("c_custkey").limit(20).select("c_name").collect()]  # a stated few
+    shared = all(secrets.join_secret(secrets.split_secret(n, 5, 3)[1:4]) == n and secrets.join_secret(secrets.split_secret(n, 5, 3)[:2]) != n for n in names)
+    token = secrets.issue_token(b"key", {"name": names[0].decode(), "expires": 5})
+
+    def reads(key: bytes, now: int) -> bool:
+        try:
+            return secrets.read_token(key, token, now)["name"] == names[0].decode()
+        except ValueError:
+            return False
+
+    log = secrets.ForwardLog(b"first")
+    for n in names:
+        log.append(n)
+    forged = [*log.entries[:3], (b"other", log.entries[3][1]), *log.entries[4:]]
+    got = [("shares", shared), ("token", reads(b"key", 4)), ("late token", reads(b"key", 5)), ("forged token", reads(b"other", 4)), ("log", secrets.ForwardLog.verify(b"first", log.entries)), ("forged log", secrets.ForwardLog.verify(b"first", forged))]
+    return spark.createDataFrame(got, "what string, holds boolean")
+
+
 def stream_windows(spark: SparkSession, base: str) -> DataFrame:
     return streams.run_to_table(streams.windowed_counts(streams.event_stream(spark, f"{base}/events.parquet"), "1 day", "0 seconds"), "complete")
 
@@ -179,10 +264,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         upsert_do_update, do_nothing, do_assert, update_returning, delete_returning, insert_select_returning, serial_dense, fk_cascade, txn_time_asof, txn_rollback, restore_as_of, vacuum_keeps, valid_time_asof,
-        rls_filter, rls_default_deny, csv_roundtrip, analyze_stats, view_expansion, alter_columns, knn_indexed, stream_windows, stream_latest,
+        rls_filter, rls_default_deny, csv_roundtrip, analyze_stats, view_expansion, alter_columns, knn_indexed, upsert_repeats, truncate_travel, values_and_parameters, grant_and_revoke, vector_functions, database_knn, secrets_kept, stream_windows, stream_latest,
     )
 }
 
+_FIRST = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)"
 _C = "(SELECT c_custkey AS k, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS bal FROM customer WHERE c_custkey > 20)"
 SQL = {
     "upsert_do_update": "SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 0 AND (c_custkey <= 20 OR c_nationkey > 3) THEN upper(c_name) ELSE c_name END AS name, CAST(CASE WHEN c_custkey % 10 = 0 AND c_custkey > 20 AND c_nationkey > 3 THEN 2 * c_nationkey ELSE c_nationkey END AS BIGINT) AS nation FROM customer WHERE c_custkey > 20 OR c_custkey % 10 = 0",
@@ -207,4 +293,11 @@ SQL = {
     "knn_indexed": "SELECT min(vec_id) AS nearest, CAST(10 AS BIGINT) AS n FROM embeddings",
     "stream_windows": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "stream_latest": "SELECT user_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, value DESC) AS r FROM events) WHERE r = 1",
+    "upsert_repeats": "SELECT c_custkey AS k, count(o_orderkey) AS orders, coalesce(max(o_orderkey), 0) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 5 <> 0 WHERE c_custkey > 20 GROUP BY c_custkey",
+    "truncate_travel": "SELECT 'now' AS at, count(*) AS n, CAST(max(c_custkey) AS BIGINT) AS top FROM customer WHERE c_custkey <= 20 UNION ALL SELECT 'before', count(*), max(c_custkey) FROM customer WHERE c_custkey > 20",
+    "values_and_parameters": "SELECT CAST(-1 AS BIGINT) AS k, 'one' AS name UNION ALL SELECT -2, NULL UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey > 20 AND c_nationkey = 7",
+    "grant_and_revoke": "SELECT CAST(s AS BIGINT) AS step, s = 1 AS may_read, false AS may_delete FROM range(4) AS t(s)",
+    "vector_functions": f"SELECT vec_id, round(list_distance(e, q), 6) AS l2_distance, round((SELECT sum(abs(x - y)) FROM (SELECT unnest(e) AS x, unnest(q) AS y)), 6) AS l1_distance, round(list_cosine_distance(e, q), 6) + 0.0 AS cosine_distance, round(list_inner_product(e, q), 6) AS inner_product FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, {_FIRST} AS q FROM embeddings)",
+    "database_knn": f"SELECT vec_id FROM (SELECT vec_id, list_distance(CAST(embedding AS DOUBLE[]), {_FIRST}) AS d FROM embeddings) ORDER BY d, vec_id LIMIT 5",
+    "secrets_kept": "SELECT * FROM (VALUES ('shares', true), ('token', true), ('late token', false), ('forged token', false), ('log', true), ('forged log', false)) AS t(what, holds)",
 }
