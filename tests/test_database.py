@@ -342,3 +342,11 @@ def test_vector_index_is_kept_and_follows_writes(spark, tmp_path):
     assert near(again) == [3]
     db.execute("TRUNCATE t")
     assert near(again) == []
+
+
+def test_repl_says_when_there_are_more_rows(spark, monkeypatch):
+    from tidemark import repl
+
+    monkeypatch.setattr(repl, "SHOWN", 3)
+    assert repl._table(spark.range(3)).endswith("(3 rows)")
+    assert repl._table(spark.range(4)).endswith("(first 3 rows, there are more)") and "\n3" not in repl._table(spark.range(4))

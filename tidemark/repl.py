@@ -31,11 +31,17 @@ def respond(db: Database, line: str) -> str | None:
     return _table(out.frame) if out.frame is not None else out.message or f"{out.count} rows"
 
 
+#: Rows that are printed.
+SHOWN = 1_000
+
+
 def _table(frame) -> str:
-    rows = [[str(x) if x is not None else "" for x in r] for r in frame.limit(1000).collect()]
+    found = frame.limit(SHOWN + 1).collect()
+    rows = [[str(x) if x is not None else "" for x in r] for r in found[:SHOWN]]
+    count = f"(first {SHOWN} rows, there are more)" if len(found) > SHOWN else f"({len(rows)} rows)"
     widths = [max(len(c), *(len(r[i]) for r in rows)) if rows else len(c) for i, c in enumerate(frame.columns)]
     show = lambda r: " | ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip()
-    return "\n".join([show(frame.columns), "-+-".join("-" * w for w in widths), *map(show, rows), f"({len(rows)} rows)"])
+    return "\n".join([show(frame.columns), "-+-".join("-" * w for w in widths), *map(show, rows), count])
 
 
 def run(db: Database, lines: Iterable[str]) -> Iterator[str]:
