@@ -145,3 +145,75 @@ def test_typical_members_of_clusters_without_a_seed(spark, mixed):
 def test_nothing_usable(spark):
     res = cluster_vectors(frame(spark, [1, 2], [None, [0.0] * 64]))
     assert res.members.count() == 0 and res.clusters.count() == 0
+
+
+def run_batches(f, columns, rows=1000):
+    import pyarrow as pa
+
+    return list(f(iter(pa.table(columns).to_batches(max_chunksize=rows))))
+
+
+def sent(x):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(value=x)
+
+
+def test_loose_vectors_reach_cores_with_members_only(monkeypatch):
+    """Before, every loose vector was sent to every empty core, all of a table's in one batch."""
+    import pyarrow as pa
+
+    import tidemark.llm.cluster as cluster
+    from tidemark.llm.vectors import pack
+
+    monkeypatch.setattr(cluster, "BLOCK", 64)
+    rng = np.random.default_rng(21)
+    x = np.concatenate([blob(rng, 300, 0.06, np.eye(64)[0]), rng.standard_normal((200, 64))]).astype(np.float32)
+    centres = unit(np.concatenate([blob(rng, 6, 0.05, np.eye(64)[0]), rng.standard_normal((20, 64))])).astype(np.float32)
+    radius = np.where(np.arange(26) % 3 == 1, -np.pi, 0.2)
+    theta = float(np.arccos(0.86))
+    out = run_batches(cluster._reach_loose(sent(centres), sent(radius), theta, 64), {"id": pa.array(np.arange(500)), "vec": pack(x)})
+    got_ = [(n, c) for b in out for n, c in zip(b.column("node").to_pylist(), b.column("unit").to_pylist())]
+    far = np.arccos(np.clip(unit(x) @ centres.T, -1, 1))
+    want = {(int(n), int(c)) for n, c in zip(*np.nonzero((far <= radius + theta) & (radius >= 0)))}
+    assert len(want) >= 1000 and len(got_) == len(set(got_)) and set(got_) == want
+    assert max(b.num_rows for b in out) <= 64
+
+
+def test_equal_cores_are_compared_in_little_memory():
+    """Two blocks of which all pairs are similar. Before, all 16 million pairs were held at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import tidemark.llm.cluster as cluster
+    from tidemark.llm.vectors import pack
+
+    n = cluster.BLOCK
+    columns = {
+        "place": pa.array(["p-0-1/0/0"] * (2 * n)),
+        "node": pa.array(np.repeat([5, 3], n)),
+        "side": pa.array(np.repeat([0, 1], n), pa.int32()),
+        "vec": pack(np.ones((2 * n, 64), dtype=np.float32)),
+    }
+    tracemalloc.start()
+    try:
+        out = run_batches(cluster._compare(0.86, 64), columns)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(b.column("a").to_pylist(), b.column("b").to_pylist()) for b in out] == [([5], [3])]
+    assert peak < 200e6
+
+
+def test_sums_come_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    import tidemark.llm.cluster as cluster
+    from tidemark.llm.vectors import pack
+
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    x = np.eye(64, dtype=np.float32)
+    x = np.repeat(x, 3, axis=0)
+    out = run_batches(cluster._sums(sent(np.eye(64, dtype=np.float32)), 64), {"id": pa.array(np.arange(192)), "vec": pack(x)})
+    assert max(b.num_rows for b in out) <= 16 and sum(sum(b.column("n").to_pylist()) for b in out) == 192
