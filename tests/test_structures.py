@@ -385,3 +385,45 @@ def test_an_index_is_kept_and_follows_changes(spark, tmp_path):
         hits += len({g[1] for g in got} & set(np.argsort(d, kind="stable")[:10].tolist()))
     assert len(found) == 40 and hits >= 0.9 * 400
     assert index.search_batch(asked.limit(0), 3).count() == 0
+
+
+def test_an_index_is_built_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, c = rng.standard_normal((20_000, 8)), rng.standard_normal((1_000, 8))
+    tracemalloc.start()
+    try:
+        probes = ann.IvfIndex._calibrated(x, c, "<=>", 0.95)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 1 <= probes <= 1_000 and peak < 120e6  # a table of all distances alone has 160 MB
+
+
+@pytest.mark.parametrize("metric", ["<=>", "<->"])
+def test_more_queries_than_a_block_and_bounds(spark, metric):
+    rng = np.random.default_rng(31)
+    near = rng.standard_normal((40, 16))[rng.integers(0, 40, 1200)] + rng.standard_normal((1200, 16)) * 0.05
+    x = np.concatenate([near, rng.standard_normal((300, 16)), np.zeros((3, 16)), np.repeat(near[:1], 30, axis=0)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [float("nan")] * 16)], "id long, e array<float>").repartition(3).cache()
+    asked = df.filter("id % 50 = 0 or id >= 1498")
+    ids = [q for q in range(len(x)) if q % 50 == 0 or q >= 1498]
+
+    def lists(rows):
+        out: dict = {}
+        for r in sorted(rows.collect(), key=lambda r: (r["query"], r["rank"])):
+            out.setdefault(r["query"], []).append(r["neighbour"])
+        return out
+
+    want = {q: brute(x.astype(float), x[q].astype(float), 5, metric) for q in ids}
+    exact = ann.knn_batch(df, asked, "id", "e", 5, metric)
+    assert lists(exact) == want
+    far = exact.filter("rank = 5").selectExpr("query as id", "distance as most")
+    assert lists(ann.knn_batch(df, asked.join(far, "id", "left"), "id", "e", 5, metric, query_block=20, most="most")) == want
+    none = ann.knn_batch(df, asked.withColumn("most", F.lit(-1.0)), "id", "e", 5, metric, most="most")
+    assert none.count() == 0  # a bound that is too small shortens lists and lets nothing else in
+    index = ann.IvfIndex.build(df, "e", "id", metric)
+    cells = len(index.centroids)
+    assert cells > 8 and lists(index.search_batch(asked, 5, probes=cells, query_block=20)) == want
+    assert {r["read"] for r in index.search_batch(asked, 5, probes=cells).collect()} == {len(x)}
